@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the bench. On a cluster the submitter's settings hold."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("quernstone")
         .config("spark.sql.shuffle.partitions", shuffle_partitions)
@@ -21,6 +23,24 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "8g"
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    return ship_package(spark)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Have Spark send this package to the Python workers, which need not find it on their own path. Once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parent.parent
+        archive = Path(tempfile.mkdtemp(prefix="quernstone-")) / "quernstone.zip"  # read by the driver only, which serves it
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        context.addPyFile(str(archive))
+        _SHIPPED.add(context.applicationId)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
