@@ -40,7 +40,8 @@ def pairs_by_key(keys: DataFrame) -> DataFrame:
     Keys of one class are dropped before anything is paired. Large groups are cut into blocks, and every two blocks meet in
     a task of their own, so no task gathers a group, and none of its pairs is left out.
     """
-    counted = keys.distinct().withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    # moved by key once; the rest up to the checkpoint happens where the rows then are
+    counted = keys.repartition("key").distinct().withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     shared = counted.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     shared = checkpointed(shared.select("key", "cls", "blocks", "own"))

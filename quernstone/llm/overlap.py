@@ -86,8 +86,8 @@ def cross_split_pairs(df: DataFrame, key: str, text: str, is_eval: Column, words
     profile = checkpointed(profile)
     members = class_members(profile.select("id", "cls", "n"))
     # a bucket matters only if both sides are in it, so either side is cut down to the other's buckets by the join itself
-    evals = keys.where("side").select("key", F.col("cls").alias("x")).distinct()
-    trains = keys.where("not side").select("key", F.col("cls").alias("y")).distinct()
+    evals = keys.where("side").select("key", F.col("cls").alias("x")).repartition("key").distinct()
+    trains = keys.where("not side").select("key", F.col("cls").alias("y")).repartition("key").distinct()
     met = evals.join(trains, "key").where("x <> y").select("x", "y").distinct()
     reps = members.where("id = rep").select("cls", "rep")
     named = met.join(reps.select(F.col("cls").alias("x"), F.col("rep").alias("p")), "x").join(reps.select(F.col("cls").alias("y"), F.col("rep").alias("q")), "y")

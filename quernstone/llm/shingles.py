@@ -2,29 +2,23 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from quernstone.operators.delivery import BLOCK_BYTES, BLOCK_ROWS
 
 #: Near-duplicates share this many words in a row, and this share of all such sequences, unless a query states others.
 WORDS, SIMILARITY = 5, 0.8
-#: Longest runs of letters and digits.
-WORD = re.compile(r"[^\W_]+")
-#: Words whose hashes a worker remembers before it starts afresh.
-REMEMBERED = 500_000
+#: Bits that tell sequences apart, among them those of the middle word, and texts and characters that are worked on at once.
+HASH_BITS, ANCHOR_BITS = 51, 16
+_DOCS, _CHARS = 1 << (64 - HASH_BITS), 8 << 20
 #: Bytes of a filter of identifiers that may be broadcast.
 FILTER_BYTES = 16 << 20
 
-_known: dict[str, int] = {}
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that scatters them."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -34,7 +28,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Sets:
-    """Distinct sequences of each text: ``hashes``, ascending within a text, ``anchors`` (hash of the middle word), ``doc``
+    """Distinct sequences of each text: ``hashes``, ``anchors`` (hash of the middle word), ``doc``
     (number of the text) and ``sizes`` (how many each text has)."""
 
     hashes: np.ndarray
@@ -59,44 +53,84 @@ class Sets:
         return mix(self.sums(mix(self.hashes ^ np.uint64(0x5851F42D4C957F2D))) + self.sizes.astype(np.uint64))
 
 
+def _alphanumeric() -> np.ndarray:
+    """For every code point, whether it is a letter or digit."""
+    global _table
+    if _table is None:
+        _table = np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
+    return _table
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and how many each text has."""
-    if len(_known) > REMEMBERED:
-        _known.clear()
-    flat: list[int] = []
-    counts = np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        words = WORD.findall(t.lower()) if t else []
-        counts[i] = len(words)
-        for w in words:
-            h = _known.get(w)
-            if h is None:
-                h = _known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-            flat.append(h)
-    return np.array(flat, np.uint64), counts
+    """Hashes of all words, the longest runs of letters and digits of the lower-cased texts, and how many each text has.
+
+    A word's hash is a polynomial in its code points, had from one running sum over all texts.
+    """
+    lowered = [t.lower() if t else "" for t in texts]
+    code = np.frombuffer("\0".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(code)
+    if not n:
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+    inside = np.zeros(n + 2, bool)
+    inside[1:-1] = _alphanumeric()[code]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    first, last = edges[::2], edges[1::2]
+    up, down = _powers(n + 1)
+    running = np.zeros(n + 1, np.uint64)
+    np.cumsum((code + np.uint32(1)) * up[:n], out=running[1:])
+    hashes = mix((running[last] - running[first]) * down[first] + (last - first).astype(np.uint64))
+    ends = np.cumsum(np.array([len(t) + 1 for t in lowered]))
+    return hashes, np.diff(np.concatenate([[0], np.searchsorted(first, ends)]))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64."""
+    global _up, _down
+    if len(_up) < n:
+        _up, _down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base, np.uint64)])) for base in (np.uint64(_ODD), np.uint64(pow(_ODD, -1, 1 << 64))))
+    return _up, _down
+
+
+_ODD = 0x9E3779B97F4A7C15
+_table: np.ndarray | None = None
+_up = _down = np.empty(0, np.uint64)
 
 
 def sequence_sets(texts: list[str | None], words: int) -> Sets:
     """Sets of all sequences of ``words`` words. Null texts and texts with fewer words have empty sets."""
+    parts, chars, begin = [], 0, 0
+    for i, t in enumerate(texts):
+        if i - begin >= _DOCS or chars > _CHARS:
+            parts.append((begin, i))
+            begin, chars = i, 0
+        chars += len(t or "")
+    parts.append((begin, len(texts)))
+    done = [_sets(texts[x:y], words) for x, y in parts]
+    if len(done) == 1:
+        return done[0]
+    return Sets(*(np.concatenate([getattr(d, c) + (x if c == "doc" else 0) for d, (x, _) in zip(done, parts)]) for c in ("hashes", "anchors", "doc", "sizes")))
+
+
+def _sets(texts: list[str | None], words: int) -> Sets:
     w, counts = word_hashes(texts)
     n = len(w) - words + 1
     if n <= 0:
-        none = np.empty(0, np.uint64)
-        return Sets(none, none, np.empty(0, np.int64), np.zeros(len(texts), np.int64))
-    doc_of_word = np.repeat(np.arange(len(texts)), counts)
+        return Sets(np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros(len(texts), np.int64))
+    doc_of_word = np.repeat(np.arange(len(texts), dtype=np.uint64), counts)
     h = w[:n].copy()
     for j in range(1, words):
-        h = mix(h + np.uint64(0x9E3779B97F4A7C15)) ^ w[j : j + n]
+        h = mix(h + np.uint64(_ODD)) ^ w[j : j + n]
     h = mix(h)
-    inside = doc_of_word[:n] == doc_of_word[words - 1 :]
+    doc = doc_of_word[:n]
     middle = words // 2
-    h, doc, anchor = h[inside], doc_of_word[:n][inside], w[middle : middle + n][inside]
-    order = np.lexsort((h, doc))
-    h, doc, anchor = h[order], doc[order], anchor[order]
-    first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    h, doc, anchor = h[first], doc[first], anchor[first]
-    return Sets(h, anchor, doc, np.bincount(doc, minlength=len(texts)).astype(np.int64))
+    # one number to sort by: text, sequence, middle word
+    key = doc << np.uint64(HASH_BITS) | (h >> np.uint64(64 - HASH_BITS + ANCHOR_BITS)) << np.uint64(ANCHOR_BITS) | w[middle : middle + n] >> np.uint64(64 - ANCHOR_BITS)
+    key = np.sort(key[doc == doc_of_word[words - 1 :]])
+    if len(key):
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    doc = (key >> np.uint64(HASH_BITS)).astype(np.int64)
+    own = key & np.uint64((1 << HASH_BITS) - 1)
+    return Sets(mix(own), own & np.uint64((1 << ANCHOR_BITS) - 1), doc, np.bincount(doc, minlength=len(texts)).astype(np.int64))
 
 
 def jaccard(left: Sets, right: Sets) -> np.ndarray:
