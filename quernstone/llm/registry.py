@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import queries_alike, queries_personal, queries_reading, queries_text
+from quernstone.llm import queries_alike, queries_names, queries_personal, queries_reading, queries_text
 
-MODULES = [queries_alike, queries_personal, queries_reading, queries_text]
+MODULES = [queries_alike, queries_names, queries_personal, queries_reading, queries_text]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
