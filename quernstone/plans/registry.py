@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.plans import training_core
+from quernstone.plans import evaluation, ingest, profile, training_core
 
-MODULES = [training_core]
-FLAGSHIP = "p3_found"
+MODULES = [training_core, ingest, profile, evaluation]
+FLAGSHIP = "frontier"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
