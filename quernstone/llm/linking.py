@@ -34,8 +34,8 @@ def class_members(profile: DataFrame) -> DataFrame:
     return checkpointed(joined.select("id", "cls", F.coalesce("rep", "id").alias("rep")))
 
 
-def pairs_by_key(keys: DataFrame) -> DataFrame:
-    """Distinct pairs (x, y), x < y, of classes that share a key, from (key, cls).
+def pairs_by_key(keys: DataFrame, apart: int) -> DataFrame:
+    """Distinct pairs (x, y), x < y, of classes that share a key and whose sketches differ in at most ``apart`` bits, from (key, cls, sketch).
 
     Keys of one class are dropped before anything is paired. Large groups are cut into blocks, and every two blocks meet in
     a task of their own, so no task gathers a group, and none of its pairs is left out.
@@ -44,13 +44,13 @@ def pairs_by_key(keys: DataFrame) -> DataFrame:
     counted = keys.repartition("key").distinct().withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     shared = counted.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    shared = checkpointed(shared.select("key", "cls", "blocks", "own"))
+    shared = checkpointed(shared.select("key", "cls", "sketch", "blocks", "own"))
     meet = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meet = meet.select("key", "cls", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    left = meet.where("own = lo").select("key", "lo", "hi", F.col("cls").alias("x0"), F.col("own").alias("xo"))
-    right = meet.where("own = hi").select("key", "lo", "hi", F.col("cls").alias("y0"), F.col("own").alias("yo"))
+    meet = meet.select("key", "cls", "sketch", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    left = meet.where("own = lo").select("key", "lo", "hi", F.col("cls").alias("x0"), F.col("sketch").alias("xs"))
+    right = meet.where("own = hi").select("key", "lo", "hi", F.col("cls").alias("y0"), F.col("sketch").alias("ys"))
     # x from the lower block, y from the higher; within one block each pair once
-    pairs = left.join(right, ["key", "lo", "hi"]).where("lo < hi or x0 < y0")
+    pairs = left.join(right, ["key", "lo", "hi"]).where("lo < hi or x0 < y0").where(F.bit_count(F.col("xs").bitwiseXOR(F.col("ys"))) <= apart)
     return pairs.select(F.least("x0", "y0").alias("x"), F.greatest("x0", "y0").alias("y")).where("x <> y").distinct()
 
 

@@ -37,7 +37,7 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _alike(spark: SparkSession, sf_dir: str) -> Linked:
-    return near_duplicates(table(spark, sf_dir, "complaints").select("complaint_id", "narrative"), "complaint_id", "narrative", WORDS, SIMILARITY)
+    return near_duplicates(table(spark, sf_dir, "complaints").select("complaint_id", "narrative"), "complaint_id", "narrative", WORDS, SIMILARITY, NEAREST)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

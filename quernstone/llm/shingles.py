@@ -28,10 +28,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Sets:
-    """Distinct sequences of each text: ``hashes``, ``anchors`` (hash of the middle word), ``doc``
-    (number of the text) and ``sizes`` (how many each text has)."""
+    """Distinct sequences of each text: ``hashes``, the same before mixing and ascending within a text (``raw``), ``anchors`` (hash
+    of the middle word), ``doc`` (number of the text) and ``sizes`` (how many each text has)."""
 
     hashes: np.ndarray
+    raw: np.ndarray
     anchors: np.ndarray
     doc: np.ndarray
     sizes: np.ndarray
@@ -52,6 +53,34 @@ class Sets:
         """One number per text that equal sets share; order and repeats of sequences play no part."""
         return mix(self.sums(mix(self.hashes ^ np.uint64(0x5851F42D4C957F2D))) + self.sizes.astype(np.uint64))
 
+    def sketches(self) -> np.ndarray:
+        """64 bits per text, each a bit of the least sequence in one of 64 ranges of hashes; see ``sketch_distance``.
+
+        An empty range takes the bit of the next range that isn't empty.
+        """
+        out = np.zeros(len(self.sizes), np.uint64)
+        if not len(self.raw):
+            return out
+        cell = self.doc * 64 + (self.raw >> np.uint64(HASH_BITS - 6)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        # two rounds of the ranges, filled from behind, so that the last ranges find the first ones
+        docs = np.flatnonzero(self.sizes)
+        place = np.full((len(docs), 128), -1, np.int64)
+        row = np.searchsorted(docs, self.doc[first])
+        place[row, cell[first] % 64] = place[row, cell[first] % 64 + 64] = first
+        column = np.where(place >= 0, np.arange(128), 999)
+        nearest = np.minimum.accumulate(column[:, ::-1], axis=1)[:, ::-1][:, :64]
+        taken = np.take_along_axis(place, nearest, axis=1)
+        bits = (mix(self.raw + np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(17) & np.uint64(1))[taken]
+        out[docs] = (bits << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        return out
+
+
+def sketch_distance(similarity: float, deviations: float = 3.5) -> int:
+    """Bits in which the sketches of two texts of this similarity may differ, but for so many standard deviations."""
+    differ = (1 - similarity) / 2
+    return int(64 * differ + deviations * (64 * differ * (1 - differ)) ** 0.5 + 1)
+
 
 def _alphanumeric() -> np.ndarray:
     """For every code point, whether it is a letter or digit."""
@@ -108,14 +137,14 @@ def sequence_sets(texts: list[str | None], words: int) -> Sets:
     done = [_sets(texts[x:y], words) for x, y in parts]
     if len(done) == 1:
         return done[0]
-    return Sets(*(np.concatenate([getattr(d, c) + (x if c == "doc" else 0) for d, (x, _) in zip(done, parts)]) for c in ("hashes", "anchors", "doc", "sizes")))
+    return Sets(*(np.concatenate([getattr(d, c) + (x if c == "doc" else 0) for d, (x, _) in zip(done, parts)]) for c in ("hashes", "raw", "anchors", "doc", "sizes")))
 
 
 def _sets(texts: list[str | None], words: int) -> Sets:
     w, counts = word_hashes(texts)
     n = len(w) - words + 1
     if n <= 0:
-        return Sets(np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros(len(texts), np.int64))
+        return Sets(np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros(len(texts), np.int64))
     doc_of_word = np.repeat(np.arange(len(texts), dtype=np.uint64), counts)
     h = w[:n].copy()
     for j in range(1, words):
@@ -130,7 +159,7 @@ def _sets(texts: list[str | None], words: int) -> Sets:
         key = key[np.concatenate([[True], key[1:] != key[:-1]])]
     doc = (key >> np.uint64(HASH_BITS)).astype(np.int64)
     own = key & np.uint64((1 << HASH_BITS) - 1)
-    return Sets(mix(own), own & np.uint64((1 << ANCHOR_BITS) - 1), doc, np.bincount(doc, minlength=len(texts)).astype(np.int64))
+    return Sets(mix(own), own, own & np.uint64((1 << ANCHOR_BITS) - 1), doc, np.bincount(doc, minlength=len(texts)).astype(np.int64))
 
 
 def jaccard(left: Sets, right: Sets) -> np.ndarray:
