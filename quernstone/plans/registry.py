@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.plans import evaluation, ingest, profile, training_core
+from quernstone.plans import evaluation, ingest, profile, textual, training_core
 
-MODULES = [training_core, ingest, profile, evaluation]
+MODULES = [training_core, ingest, profile, evaluation, textual]
 FLAGSHIP = "frontier"
 
 
