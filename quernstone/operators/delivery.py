@@ -74,10 +74,11 @@ def mark_deliveries(df: DataFrame, ident: str, order: list[str]) -> DataFrame:
     if slices <= 1:
         return applied(scan, bits)
     # files are packed into slices of checked size; a file is scanned in one slice only
-    names, groups, room = df.inputFiles(), [], 0
+    groups: list[list[tuple[str, int]]] = []
+    room = 0
     sizes = {r["__file"]: r["count"] * BLOCK_BYTES for r in per_file.collect()}
-    hashes = df.sparkSession.createDataFrame([(n,) for n in names], "n string").select("n", F.xxhash64("n").alias("h")).collect()
-    for r in hashes:
+    files = df.select(F.col("_metadata.file_path").alias("n")).distinct().select("n", F.xxhash64("n").alias("h")).collect()  # a row per file, no column is read
+    for r in sorted(files):
         n = sizes.get(r["h"], 0)
         if not groups or room + n > SLICE_BYTES:
             groups.append([])
