@@ -8,11 +8,13 @@ classifier, a logistic model over votes, shape and neighbouring words, on a boun
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -49,11 +51,12 @@ TITLES = "mr mrs ms miss dr prof sir".split()
 
 _W = r"[^\W\d_]"
 _DIGIT = re.compile(r"\d")
+_LONG = re.compile(r"\d[\d .()/\-]{4,}\d")
 _EMAIL = re.compile(
     r"[^\W_][\w.+\-]*(?:\s?@\s?|\s?[(\[]\s?at\s?[)\]]\s?)[^\W_][\w\-]*(?:(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?|\s+dot\s+)[^\W_][\w\-]*)+|[^\W_][\w.+\-]*\s+at\s+[^\W_][\w\-]*(?:\s+dot\s+[^\W_][\w\-]*)+",
     re.I,
 )
-_EMAIL_MARK = re.compile(r"@|[(\[]\s?at\s?[)\]]|\sdot\s", re.I)
+_EMAIL_MARKS = ("at)", "at]", "at )", "at ]", " dot ")
 _PHONE = re.compile(r"(?<![\w$.,\-/+])(?:\+\d{1,3}[ .\-]?|1[ .\-])?(?:\(\d{3}\) ?|\d{3}[ .\-/]?)\d{3}[ .\-]?\d{4}(?!\w|[\-/]\w|\.\d)|(?<![\w$.,\-/])\+\d{1,3}(?:[ .\-]?\d{2,5}){2,4}(?![\w\-])|(?<![\w$.,\-/+])\d{3}[.\-]\d{4}(?!\w|[\-/]\w|\.\d)")
 _NUMBER = re.compile(r"(?<![\w$.,\-/+])(?:\d{3}([ .\-]?)\d{2}\1\d{4}|[A-Za-z]{1,2}[ \-]?\d{6,9}|[A-Za-z]\d{3}-\d{4}-\d{2}|[A-Za-z] \d{4} \d{4}|\d{3} \d{3} \d{3} [A-Za-z]|\d{7,9})(?!\w|[\-/]\w|\.\d)")
 _STREET = re.compile(rf"(?<![\w$.,\-#])\d{{1,5}}[A-Za-z]?\s+(?:(?:[NSEW]\.?|North|South|East|West|No\.)\s+)?((?:{_W}[\w'\-]*\s+){{1,3}}?)({'|'.join(STREETS)})\b\.?", re.I)
@@ -65,6 +68,9 @@ _TOKEN = re.compile(rf"{_W}(?:['’\-]?{_W})*")
 _NAME_LEFT = re.compile(
     r"(?:my (?:late )?(?:mother|father|husband|wife|son|daughter|brother|sister|uncle|aunt|friend|neighbor|landlady|landlord)|called (?:him|her)self|(?:supervisor|agent|clerk|manager|man|woman|person|teller) (?:called|named)|spoke (?:with|to)|talked to|(?:transfer|payment|money) went to|letter is from|(?:check|cheque) was made out to|ask for|my name is|name on the (?:slip|account) is|payee on the slip is|signed:|signed by|regards\s?[\-,:]|sincerely,|told by|attention:|attn:?|dear)\s+(?:(?:mr|mrs|ms|miss|dr)\b\.?\s+)?"
 )
+# Every pattern of _NAME_LEFT and _NAME_TITLE ends in one of these.
+_CUE_ENDS = """ mother| father| husband| wife| son| daughter| brother| sister| uncle| aunt| friend| neighbor| landlady| landlord|himself|herself| called| named|spoke with|spoke to|talked to|went to|letter is from|made out to|
+ask for|name is|slip is|account is|signed:|signed by|regards|sincerely,|told by|attention:|attn|dear|mr.|mrs.|ms.|dr.|prof.|mr |mrs |ms |miss |dr |sir """.replace("\n", "").split("|")
 _NAME_RIGHT = re.compile(r"[\s]*(?:signed the|took (?:the|notes)|who (?:took|said|told|promised)|held the account|is on the account|promised a|hung up|from the [a-z]+ (?:desk|office|team)|in (?:claims|the back office)|by mistake|to wait)\b")
 _NAME_TITLE = re.compile(rf"(?<![^\W_])(?:{'|'.join(TITLES)})\b\.?\s+")
 _NAME_LEFT_END = re.compile(f"(?:{_NAME_LEFT.pattern}|{_NAME_TITLE.pattern})$")
@@ -82,16 +88,41 @@ def _lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+@functools.lru_cache(maxsize=1)
+def _spotter() -> ahocorasick.Automaton:
+    """Finds given names, and the ends of what stands before names, in one walk over a text."""
+    a = ahocorasick.Automaton()
+    for word in GIVEN:
+        a.add_word(word, (len(word), False))
+    for word in _CUE_ENDS:
+        a.add_word(word, (len(word), True))
+    a.make_automaton()
+    return a
+
+
+def _cues(text: str, low: str, mixed: bool) -> tuple[set[int], bool]:
+    """Where a name may begin by what stands before it, and whether any given name occurs."""
+    cues: set[int] = set()
+    given, n = False, len(low)
+    for end, (size, cue) in _spotter().iter(low):
+        if not cue:
+            if not given and (end + 1 == n or not low[end + 1].isalpha()) and (end < size or not low[end - size].isalpha()):
+                given = True
+            continue
+        # the pattern decides; it ends in white space after the word that was spotted
+        near = [*_NAME_LEFT.finditer(low, max(0, end - 48), min(n, end + 12)), *_NAME_TITLE.finditer(low, max(0, end - 4), min(n, end + 6))]
+        for m in near:
+            # "my son saw": after a relation a name must look like one, or be in the gazetteer
+            if not m.group().startswith("my ") or m.group().startswith("my name") or not mixed or text[m.end() : m.end() + 1].isupper():
+                cues.add(m.end())
+    return cues, given
+
+
 def _names(text: str, low: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """Spans that may be names: from a given name or after a cue, to one family name at most."""
     mixed = text != low
-    cues = {m.end() for m in _NAME_TITLE.finditer(low)}
-    for m in _NAME_LEFT.finditer(low):
-        # "my son saw": after a relation a name must look like one, or be in the gazetteer, which is looked at below
-        if not m.group().startswith("my ") or m.group().startswith("my name") or not mixed or text[m.end() : m.end() + 1].isupper():
-            cues.add(m.end())
-    words = _WORDS.findall(low)
-    if not cues and GIVEN.isdisjoint(words) and not _INITIAL.search(text):
+    cues, given_name = _cues(text, low, mixed)
+    if not cues and not given_name and not _INITIAL.search(text):
         return
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
     n, last = len(tokens), -1
@@ -227,16 +258,17 @@ def candidates(text: str | None) -> list[Span]:
     low = _lowered(text)
     found: list[tuple[int, int, int]] = []
     taken: list[tuple[int, int]] = []
-    if _EMAIL_MARK.search(text):
+    if "@" in text or any(mark in low for mark in _EMAIL_MARKS):
         for m in _EMAIL.finditer(text):
             found.append((0, m.start(), m.end()))
             taken.append((m.start(), m.end()))
     if _DIGIT.search(text):
-        for k, pattern in ((1, _PHONE), (2, _NUMBER), (3, _STREET)):
-            for m in pattern.finditer(text):
-                if not any(a < m.end() and m.start() < b for a, b in taken):
-                    end = m.end() + _UNIT.match(text, m.end()).end() - m.end() if k == 3 else m.end()
-                    found.append((k, m.start(), end))
+        matches = {(3, m.start(), _UNIT.match(text, m.end()).end()) for m in _STREET.finditer(text)}
+        for long in _LONG.finditer(text):
+            # what a number begins with and what must not follow it lies near its digits
+            for k, pattern in ((1, _PHONE), (2, _NUMBER)):
+                matches |= {(k, m.start(), m.end()) for m in pattern.finditer(text, max(0, long.start() - 4), long.end() + 12)}
+        found += [x for x in matches if not any(a < x[2] and x[1] < b for a, b in taken)]
     found += [(4, s, e) for s, e in _names(text, low, taken)]
     out = []
     for k, start, end in sorted(found, key=lambda x: (x[1], x[0])):
