@@ -12,8 +12,9 @@ from quernstone.functions.vocabulary import EVAL_SPLITS, RETIRED_LABEL
 from quernstone.operators import metrics as M
 from quernstone.operators.history import as_of, rate
 from quernstone.operators.samples import filled, first_per_cell, shuffled, stratified
-from quernstone.plans.ingest import cases
+from quernstone.plans.ingest import cases, scratch
 from quernstone.plans.session import checkpointed
+from quernstone.sources import transcripts
 
 SEED, PER_CLASS, DRAWS = "20250701", 100, 20
 TARGETS = [0.01, 0.02, 0.05, 0.10, 0.15, 0.20, 0.25]
@@ -160,6 +161,18 @@ def coverage_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled(rows.select("complaint_id", "split", "label"), chosen, "complaint_id", 500, SEED)
 
 
+def transcript_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes of the sampled cases written as JSON lines, read back, scored: accepted, undecided and broken off."""
+    rows = eval_join(spark, sf_dir)
+    block = F.to_json(F.struct(F.when(F.col("c") >= 0.8, "close").otherwise("hand_over").alias("disposition"), F.col("c").alias("confidence")))
+    kind = F.pmod(F.xxhash64("complaint_id"), F.lit(10))
+    episodes = rows.select("complaint_id", F.when(kind == 0, F.array(F.lit("no decision"))).otherwise(F.array(F.lit("let me see"), block)).alias("responses"), F.when(kind == 1, "timeout").alias("error"))
+    path = scratch(spark)
+    transcripts.write(episodes, path)
+    decided_ = transcripts.decisions(transcripts.read(spark, path))
+    return decided_.groupBy("disposition", F.coalesce("rejection", F.lit("accepted")).alias("rejection")).agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+
+
 def majority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The constant decider: the share of train cases that needed a human, for every evaluation case."""
     rate_ = cases(spark, sf_dir).where("split = 'train' and label <> 'excluded'").agg(F.round(F.avg(F.when(F.col("label") == "needed_human", 1).otherwise(0)), 6)).first()[0]
@@ -219,7 +232,7 @@ _CELLS = f"""select complaint_id, unnest(list_filter([concat_ws('/', 'split_prod
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "company_asof": company_asof, "frontier": frontier, "best_at_frr": best_at_frr, "reliability": reliability, "ece": ece, "auc_ap_brier": auc_ap_brier, "envelope": envelope, "tau_sweep": tau_sweep,
     "stratified_sample": stratified_sample, "eval_join": eval_join, "base_rate": base_rate, "eval_summary": eval_summary, "scores_semi": scores_semi, "resume_anti": resume_anti, "missing_anti": missing_anti,
-    "bootstrap_arr": bootstrap_arr, "paired_auc": paired_auc, "trace_pick": trace_pick, "coverage_cells": coverage_cells, "coverage_sample": coverage_sample, "majority": majority, "score_table": score_table,
+    "bootstrap_arr": bootstrap_arr, "paired_auc": paired_auc, "trace_pick": trace_pick, "coverage_cells": coverage_cells, "coverage_sample": coverage_sample, "majority": majority, "score_table": score_table, "transcript_replay": transcript_replay,
     "shape_features": shape_features, "feature_frame": feature_frame, "onehot_vocab": onehot_vocab,
 }
 _FEATURES = "select complaint_id, split, date_received, " + ", ".join(f"coalesce({c}, '(none)') as {c}" for c in INTAKE) + ", case when label = 'needed_human' then 1 else 0 end as y from complaints where label <> 'excluded'"

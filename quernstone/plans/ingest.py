@@ -105,20 +105,20 @@ def unique_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("complaint_id").alias("n_ids"))
 
 
-def _scratch(spark: SparkSession) -> str:
+def scratch(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/roundtrip-{uuid.uuid4().hex}"
 
 
 def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw records written as gzipped JSON lines and read back under their fixed schema."""
     rows = _raw(spark, sf_dir)
-    path = _scratch(spark)
+    path = scratch(spark)
     write_jsonl(rows, path)
     return read_jsonl(spark, path, rows.schema)
 
 
 def parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark)
+    path = scratch(spark)
     write_parquet(cases(spark, sf_dir), path)
     return spark.read.parquet(path)
 
