@@ -19,11 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from quernstone.llm.overlap import banding
+from quernstone.plans.session import checkpointed
 
 #: Length of q-grams; similarity of q-gram sets after one slip in a word of middle length; how surely such words must meet.
 Q, AFTER_SLIP, RECALL = 2, 0.5, 0.999
 #: Least Monge-Elkan similarity of a mention and the name it is linked to.
 ALIKE = 0.75
+#: Weight of the mention's words against the name's, which people leave out.
+MENTIONED = 0.75
+#: Least number of records, and share, in which a spelling that could stand for several entities stands for the record's own.
+LEAST_VOTES, LEAST_SHARE = 2, 0.5
 #: Entities whose names are broadcast at most.
 MOST_ENTITIES = 200_000
 #: Words whose look-up a worker remembers before it starts afresh.
@@ -36,7 +41,9 @@ SHORT = {
     "company": "co", "wallet": "wlt wal wallt", "payments": "pymts pmts pay pmt pymt", "financial": "fin fincl finl", "card": "crd", "services": "serv svcs srv svc servs", "remittance": "remit rmt rem",
     "group": "grp gp", "bancorp": "bncp banc bcp", "first": "1st",
 }
-NICKS = ("zy", "ster", "ie", "o", "y", "s")
+# What nicknames add to the first letters of a name.
+NICKS = ("zy", "ster", "ie", "o")
+TOGETHER = {"fcu": ["federal", "credit", "union"], "cu": ["credit", "union"]}
 
 _WORD = re.compile(r"[^\W\d_]+|1st")
 
@@ -91,11 +98,11 @@ def inner(a: str, b: str) -> float:
 
 
 def monge_elkan(a: list[str], b: list[str]) -> float:
-    """Mean of the best matches of a's words in b and of b's words in a."""
+    """Mean of the best matches of a's words in b, and with less weight of b's words in a."""
     if not a or not b:
         return 0.0
     one = [[inner(x, y) for y in b] for x in a]
-    return (sum(max(r) for r in one) / len(a) + sum(max(r[j] for r in one) for j in range(len(b))) / len(b)) / 2
+    return MENTIONED * sum(max(r) for r in one) / len(a) + (1 - MENTIONED) * sum(max(r[j] for r in one) for j in range(len(b))) / len(b)
 
 
 class Stars:
@@ -143,7 +150,7 @@ class Stars:
                 for spelt in {c[0] + y + c[-1] + ends for y in c[1:-1]} | ({c[0] + ends} if len(ends) >= 3 else set()):
                     self.guess[spelt.upper()].add(i)
             if i not in nicks:
-                for spelt in {c[:k] + n for k in (3, 4, 5) for n in NICKS}:
+                for spelt in {c[:4] + n for n in NICKS}:
                     self.guess[spelt].add(i)
         self.buckets: dict[int, list[str]] = defaultdict(list)
         self.targets = {**{c: ids for c, ids in self.by_core.items()}, **{j: ids for j, ids in self.joined.items() if j not in self.by_core}}
@@ -152,6 +159,7 @@ class Stars:
                 self.buckets[k].append(t)
         self.memo: dict[str, tuple[int, list[str]]] = {}
         self.starts = {c[:3] for c in self.by_core}
+        self.dull: set[str] = set()
 
     def keys(self, word: str) -> list[int]:
         """Buckets of a word's padded q-grams."""
@@ -183,9 +191,21 @@ class Stars:
             self.memo[word] = got
         return got
 
-    def mentions(self, text: str | None, own: str | None) -> dict[str, str]:
-        """Entities that the text names, each with one spelling. ``own``: the entity of the record, which decides ties."""
-        found: dict[str, str] = {}
+    def cut(self, word: str) -> list[str]:
+        """The distinctive word that a longer word begins with, when a describing word follows it without a blank."""
+        for size in range(len(word) - 3, 5, -1):
+            if word[:size] in self.by_core:
+                rest = word[size:]
+                if any(d.startswith(r) or r.startswith(d) for d in SHORT for r in (rest, rest[1:]) if len(r) >= 3):
+                    return [word[:size]]
+        return []
+
+    def _kinds_at(self, word: str) -> list[str]:
+        return TOGETHER.get(word) or ([d] if (d := describing(word)) else [])
+
+    def mentions(self, text: str | None) -> list[tuple[str, list[str]]]:
+        """(spelling, entities it is most like) of every mention; more than one entity where it is equally like several."""
+        found: list[tuple[str, list[str]]] = []
         if not text:
             return found
         raw = words_of(text)
@@ -194,17 +214,13 @@ class Stars:
         n, i = len(low), 0
         while i < n:
             w, width, targets = low[i], 1, []
-            if w in self.single or w in self.guess or raw[i] in self.guess:
-                ids = self.single.get(w, set())
-                if not ids and (raw[i].isupper() and mixed and len(w) >= 4 or w in self.guess and w not in _LONG):
-                    ids = self.guess.get(raw[i], set()) or self.guess.get(w, set())
-                    if w in self.guess and own not in ids and not raw[i].isupper():
-                        ids = set()  # a nickname that nobody recorded says too little without the record's own entity
-                if ids:
-                    if pick := self._decide(ids, own):
-                        found.setdefault(pick, raw[i])
-                    i += 1
-                    continue
+            if w in self.dull:
+                i += 1
+                continue
+            if w in self.single:
+                found.append((raw[i], sorted(self.single[w])))
+                i += 1
+                continue
             if w[:3] in self.starts and i + 1 < n and w not in self.by_core:
                 for k in (2, 3):
                     joint = "".join(low[i : i + k])
@@ -214,49 +230,60 @@ class Stars:
                     if k == 2 and len(w) >= 3 and 7 <= len(joint) <= 16 and describing(low[i + 1]) is None and self.nearest(w)[0] > 1 and low[i + 1] not in _SMALL and self.nearest(joint)[0] <= 1:
                         width, targets = 2, self.nearest(joint)[1]
                         break
+            if not targets and ids_of(self.guess, raw[i], w, mixed):
+                found.append((raw[i], sorted(ids_of(self.guess, raw[i], w, mixed))))
+                i += 1
+                continue
+            anchor = "".join(low[i : i + width])
             if not targets:
                 targets = self.nearest(w)[1]
+            if not targets and len(w) >= 10 and (targets := self.cut(w)):
+                anchor = targets[0]
             if not targets:
+                if w[:3] not in self.starts and w not in self.guess and w.upper() not in self.guess:
+                    if len(self.dull) > REMEMBERED:
+                        self.dull.clear()
+                    self.dull.add(w)
                 i += 1
                 continue
             around, j = [], i + width
-            while j < n and j < i + width + 4 and (d := describing(low[j])):
-                around.append(d)
+            while j < n and j < i + width + 4 and (d := self._kinds_at(low[j])):
+                around += d
                 j += 1
             k = i - 1
-            while k >= 0 and k >= i - 4 and (d := describing(low[k])):
-                around.insert(0, d)
+            while k >= 0 and k >= i - 4 and (d := self._kinds_at(low[k])):
+                around = d + around
                 k -= 1
             if around and around[0] == "of":
                 around = around[1:]
-            spelling = " ".join(raw[k + 1 : j])
-            if pick := self._verify(targets, low[i : i + width], around, own):
-                found.setdefault(pick, spelling)
+            if ids := self._verified(targets, anchor, around):
+                found.append((" ".join(raw[k + 1 : j]), ids))
             i = j
         return found
 
-    def _decide(self, ids: set[str], own: str | None) -> str | None:
-        return next(iter(ids)) if len(ids) == 1 else own if own in ids else None
-
-    def _verify(self, targets: list[str], anchor: list[str], around: list[str], own: str | None) -> str | None:
-        """The star that the mention joins."""
-        spelt = "".join(anchor)
+    def _verified(self, targets: list[str], spelt: str, around: list[str]) -> list[str]:
+        """The stars that the mention is most like."""
         scores: dict[str, float] = {}
         for t in targets:
             for i in self.targets[t]:
                 core = "".join(self.core_of[i])
                 if t == core:
-                    kinds = self.kind_of[i]
-                    # words that are left out don't count against a mention, other words do
-                    full = monge_elkan([spelt, *around], [core, *kinds])
-                    lone = inner(spelt, core)
-                    scores[i] = max(full, lone - 0.05 if not around else 0.0)
+                    # words that are left out hardly count against a mention, other words do
+                    full = monge_elkan([spelt, *around], [core, *self.kind_of[i]])
+                    scores[i] = full if around else inner(spelt, core) - 0.05
                 else:
                     scores[i] = inner(spelt, t)
         best = max(scores.values(), default=0.0)
         if best < ALIKE:
-            return None
-        return self._decide({i for i, s in scores.items() if s >= best - 1e-9}, own)
+            return []
+        return sorted(i for i, s in scores.items() if s >= best - 1e-9)
+
+
+def ids_of(guess: dict[str, set[str]], raw: str, low: str, mixed: bool) -> set[str]:
+    """Entities for which an unrecorded acronym (in capitals, where the text isn't all capitals) or nickname would stand."""
+    if mixed and len(low) >= 4 and raw.isupper() and raw in guess:
+        return guess[raw]
+    return guess[low] if low in guess and low not in _LONG else set()
 
 
 # Small words that never are the second half of a name cut in two.
@@ -264,28 +291,42 @@ _SMALL = frozenset("i a an and as at but by for from in is it my no of on or so
 
 
 def link(df: DataFrame, key: str, text: str, own: str, entities: DataFrame, entity: str, name: str, aliases: str) -> DataFrame:
-    """(key, entity, spelling): one row for each entity that a record's text names.
+    """(key, entity, spelling): one row for each entity that the text of a key's records names, with one of its spellings.
 
-    ``own``: column with the entity of the record itself, which may be null. ``entities`` is a table of fixed size (more than
-    ``MOST_ENTITIES`` rows raise); null names and aliases know no spelling, repeated ones count once. Null and empty texts name
-    nobody. Records with equal or null keys are looked at each for itself. Empty tables give no rows.
+    ``own``: column with the entity of the record itself, which may be null. A spelling that several entities share equally goes to
+    the one for which it stands in most records of those entities themselves, counted over all records; failing that to the
+    record's own, if it is among them, or to nobody. ``entities`` is a table of fixed size (more than ``MOST_ENTITIES`` rows
+    raise); null names and aliases know no spelling, repeated ones count once. Null and empty texts name nobody. Null keys are
+    a key. Empty tables give no rows.
     """
     rows = entities.select(F.col(entity), F.col(name), F.col(aliases)).where(F.col(entity).isNotNull()).limit(MOST_ENTITIES + 1).collect()
     if len(rows) > MOST_ENTITIES:
         raise ValueError(f"more than {MOST_ENTITIES} entities")
     known = sorted({(r[0], r[1], tuple(r[2] or ())) for r in rows}, key=lambda r: (r[0], r[1] or "", [x or "" for x in r[2]]))
     shared = df.sparkSession.sparkContext.broadcast([(i, n, list(a)) for i, n, a in known])
-    fields = [T.StructField(key, df.schema[key].dataType), T.StructField(entity, T.StringType()), T.StructField("spelling", T.StringType())]
+    fields = [T.StructField("id", df.schema[key].dataType), T.StructField("own", T.StringType()), T.StructField("spelling", T.StringType()), T.StructField("ids", T.ArrayType(T.StringType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stars = Stars(shared.value)
         for batch in batches:
             row, ids, spelt = [], [], []
-            for r, (t, o) in enumerate(zip(batch.column("text").to_pylist(), batch.column("own").to_pylist())):
-                for i, s in stars.mentions(t, o).items():
+            for r, t in enumerate(batch.column("text").to_pylist()):
+                for s, i in stars.mentions(t):
                     row.append(r)
                     ids.append(i)
                     spelt.append(s)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row, pa.int32())), pa.array(ids, pa.string()), pa.array(spelt, pa.string())], names=[f.name for f in fields])
-
-    return df.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(own).alias("own")).mapInArrow(run, T.StructType(fields))
+            at = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("own").take(at), pa.array(spelt, pa.string()), pa.array(ids, pa.list_(pa.string()))], names=["id", "own", "spelling", "ids"])
+
+    mentioned = df.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(own).cast("string").alias("own")).mapInArrow(run, T.StructType(fields))
+    mentioned = checkpointed(mentioned.withColumn("word", F.lower("spelling")))
+    shared_ones = mentioned.where(F.size("ids") > 1)
+    votes = shared_ones.where(F.array_contains("ids", F.col("own"))).groupBy("word", "own").agg(F.count("*").alias("n"))
+    learned = votes.groupBy("word").agg(F.max(F.struct("n", "own")).alias("best"), F.sum("n").alias("total"))
+    learned = learned.where((F.col("best.n") >= LEAST_VOTES) & (F.col("best.n") > LEAST_SHARE * F.col("total"))).select("word", F.col("best.own").alias("voted"))
+    # a row per spelling that several entities share; a popular one may have many mentions, which AQE then splits
+    decided = shared_ones.join(learned, "word", "left")
+    fits = lambda c: F.when(F.array_contains("ids", F.col(c)), F.col(c))
+    decided = decided.select("id", F.coalesce(fits("voted"), fits("own")).alias("entity"), "spelling").where("entity is not null")
+    clear = mentioned.where(F.size("ids") == 1).select("id", F.element_at("ids", 1).alias("entity"), "spelling")
+    return clear.unionAll(decided).groupBy(F.col("id").alias(key), F.col("entity").alias(entity)).agg(F.min("spelling").alias("spelling"))
