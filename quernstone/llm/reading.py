@@ -23,6 +23,8 @@ LABELLED = 20_000
 #: Buckets that n-grams and words are hashed to.
 CHAR_BUCKETS, WORD_BUCKETS = 1 << 13, 1 << 13
 FOLDS = 5
+#: Words that a worker remembers before it starts afresh.
+REMEMBERED = 200_000
 #: Words after which a stretch without any mark of punctuation is cut.
 LONGEST = 40
 
@@ -45,40 +47,59 @@ def _bucket(s: str, buckets: int) -> int:
     return zlib.crc32(s.encode("utf-8", "surrogatepass")) & (buckets - 1)
 
 
-_grams_of: dict[str, list[int]] = {}
+class Words:
+    """Numbers for words, with what is fixed about each: hash, buckets of its n-grams. Starts afresh when it holds too many."""
 
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.hashes: list[int] = []
+        self.grams: list[list[int]] = []
 
-def char_features(words: list[str]) -> list[int]:
-    """Buckets of the n-grams of two to four letters of each word with its ends marked, and of its length."""
-    out: list[int] = []
-    for w in words:
-        got = _grams_of.get(w)
-        if got is None:
-            if len(_grams_of) > 200_000:
-                _grams_of.clear()
-            s = f"^{w}$"
-            got = [_bucket(s[i : i + n], CHAR_BUCKETS) for n in (2, 3, 4) for i in range(len(s) - n + 1)] + [_bucket(f"#{min(len(w), 15)}", CHAR_BUCKETS)]
-            _grams_of[w] = got
-        out += got
-    return out
+    def numbers(self, words: list[str]) -> np.ndarray:
+        out = np.empty(len(words), np.int64)
+        for k, w in enumerate(words):
+            i = self.number.get(w)
+            if i is None:
+                i = self.number[w] = len(self.hashes)
+                self.hashes.append(zlib.crc32(w.encode("utf-8", "surrogatepass")))
+                self.grams.append(char_buckets(w))
+            out[k] = i
+        return out
+
+
+def char_buckets(word: str) -> list[int]:
+    """Buckets of a word's n-grams of two to four letters with its ends marked, and of its length."""
+    s = f"^{word}$"
+    return [_bucket(s[i : i + n], CHAR_BUCKETS) for n in (2, 3, 4) for i in range(len(s) - n + 1)] + [_bucket(f"#{min(len(word), 15)}", CHAR_BUCKETS)]
 
 
-def word_features(words: list[str]) -> list[int]:
-    """Buckets of words and of neighbouring pairs."""
-    return [_bucket(w, WORD_BUCKETS) for w in words] + [_bucket(f"{a} {b}", WORD_BUCKETS) for a, b in zip(words, words[1:])]
+def word_buckets(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of words, of each with its successor, and which words have a successor in their sentence (``ends``: one past each)."""
+    h = hashes.astype(np.uint64)
+    single = (h & np.uint64(WORD_BUCKETS - 1)).astype(np.int64)
+    both = (h[:-1] * np.uint64(0x9E3779B1) + h[1:] * np.uint64(0x85EBCA77)) >> np.uint64(13)
+    follows = np.ones(len(h), bool)
+    follows[ends - 1] = False
+    return single, (both & np.uint64(WORD_BUCKETS - 1)).astype(np.int64), follows
 
 
-def matrix(rows: list[list[int]], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows of unit length: (row, bucket, value)."""
-    lens = np.array([len(r) for r in rows], np.int64)
-    if not lens.sum():
-        none = np.empty(0, np.int64)
-        return none, none, np.empty(0)
-    flat = np.fromiter((c for r in rows for c in r), np.int64, int(lens.sum()))
-    cell, n = np.unique(np.repeat(np.arange(len(rows)), lens) * buckets + flat, return_counts=True)
-    at, col = cell // buckets, cell % buckets
-    # entries are square roots of counts, so a row's squared length is how many features it has
-    return at, col, np.sqrt(n / lens[at])
+def matrices(items: list[list[str]]) -> tuple[tuple, tuple]:
+    """Sparse rows (row, bucket, value) of sentences for the character and the word model: counts over the root of their number."""
+    words = Words()
+    lens = np.array([len(s) for s in items])
+    n = words.numbers([w for s in items for w in s])
+    row = np.repeat(np.arange(len(items)), lens)
+    grams = [words.grams[i] for i in n.tolist()]
+    char = _counted(np.repeat(row, [len(g) for g in grams]), np.array([c for g in grams for c in g]), CHAR_BUCKETS, len(items))
+    single, both, follows = word_buckets(np.array(words.hashes)[n], np.cumsum(lens))
+    inside = follows[:-1]
+    return char, _counted(np.concatenate([row, row[:-1][inside]]), np.concatenate([single, both[inside]]), WORD_BUCKETS, len(items))
+
+
+def _counted(row: np.ndarray, col: np.ndarray, buckets: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    cell, count = np.unique(row * buckets + col, return_counts=True)
+    total = np.bincount(row, minlength=n)
+    return cell // buckets, cell % buckets, count / np.sqrt(total[cell // buckets])
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -116,11 +137,31 @@ class LevelModel:
     calibration: tuple[np.ndarray, np.ndarray]
 
     def sentence_levels(self, items: list[list[str]]) -> np.ndarray:
-        n = len(items)
-        zc = times(matrix([char_features(s) for s in items], CHAR_BUCKETS), self.char[0], n) + self.char[1]
-        zw = times(matrix([word_features(s) for s in items], WORD_BUCKETS), self.word[0], n) + self.word[1]
+        """Distribution over levels of each sentence (none is empty). A word's n-grams always add the same, which is remembered."""
+        words = self._words()
+        if len(words.hashes) > REMEMBERED:
+            words = self._words(afresh=True)
+        lens = np.array([len(s) for s in items])
+        n = words.numbers([w for s in items for w in s])
+        known = self.__dict__["_sums"]
+        if len(known[1]) < len(words.grams):
+            new = words.grams[len(known[1]) :]
+            starts = np.concatenate([[0], np.cumsum([len(g) for g in new])])[:-1]
+            added = np.add.reduceat(self.char[0][[c for g in new for c in g]], starts, axis=0)
+            known = self.__dict__["_sums"] = (np.concatenate([known[0], added]), np.concatenate([known[1], [len(g) for g in new]]))
+        starts = np.concatenate([[0], np.cumsum(lens)])[:-1]
+        zc = np.add.reduceat(known[0][n], starts, axis=0) / np.sqrt(np.add.reduceat(known[1][n], starts))[:, None] + self.char[1]
+        single, both, follows = word_buckets(np.array(words.hashes)[n], starts + lens)
+        z = self.word[0][single]
+        z[:-1] += np.where(follows[:-1, None], self.word[0][both], 0.0)
+        zw = np.add.reduceat(z, starts, axis=0) / np.sqrt(2 * lens - 1)[:, None] + self.word[1]
         return softmax((zc + zw) / 2)
 
+    def _words(self, afresh: bool = False) -> Words:
+        if afresh or "_known" not in self.__dict__:
+            self.__dict__["_known"], self.__dict__["_sums"] = Words(), (np.empty((0, len(self.levels))), np.empty(0))
+        return self.__dict__["_known"]
+
     def profiles(self, texts: list[str | None]) -> np.ndarray:
         """Share of each level in each text, by words; even where there is no word."""
         items = [sentences(t) for t in texts]
@@ -151,7 +192,7 @@ def _sentence_models(docs: list[list[list[str]]], label: np.ndarray, k: int, rou
     # each level counts alike, however many sentences it has
     weight = n / np.maximum(np.bincount(label[doc], weights=n, minlength=k), 1)[label[doc]]
     weight = weight / weight.mean()
-    xc, xw = matrix([char_features(s) for s in flat], CHAR_BUCKETS), matrix([word_features(s) for s in flat], WORD_BUCKETS)
+    xc, xw = matrices(flat)
     y = given
     for turn in range(rounds):
         char = fit_sparse(xc, y, weight, CHAR_BUCKETS, 2e-5)
