@@ -26,8 +26,9 @@ def terms(text: Column, pairs: bool = True) -> Column:
     words = F.regexp_extract_all(plain(text), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
     if not pairs:
         return words
-    twos = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.try_element_at(words, i), F.try_element_at(words, i + 1)))
-    return F.concat(words, F.when(F.size(words) > 1, twos).otherwise(F.array().cast("array<string>")))
+    rest = F.greatest(F.size(words) - 1, F.lit(0))
+    # two shifted copies side by side: the words are cut once a copy, not once a pair
+    return F.concat(words, F.zip_with(F.slice(words, F.lit(1), rest), F.slice(words, F.lit(2), rest), lambda a, b: F.concat_ws(" ", a, b)))
 
 
 def counts(df: DataFrame, group: str, key: str, text: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quernstone.functions.expressions import canonical_product, category_id, company_key, iso_date, label_for, present, split_for, unrecognised, yes_no
+from quernstone.functions.vocabulary import PRODUCT_LABELS, SUB_PRODUCTS
 from quernstone.operators.delivery import deduplicated
 from quernstone.operators.records import require_unique, typed, typed_or_fail
 from quernstone.plans.session import checkpoint_dir, table
@@ -124,6 +125,9 @@ def parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FIRST = f"select * from raw_records where delivery_id not in ({P7_FOUND_SQL}) and trim(coalesce(complaint_id, ''), ' \t\n\r') <> ''"
+_SUBS = ", ".join(f"('{sub.replace(chr(39), chr(39) * 2)}', '{product}')" for product, subs in SUB_PRODUCTS.items() for sub in subs)
+_LABELS = ", ".join(f"('{label}', '{product}')" for product, labels in PRODUCT_LABELS.items() for label in labels)
+_DIMS = f"subs(sub, product) as (values {_SUBS}), labels(label, product) as (values {_LABELS}), sole as (select label, any_value(product) as product from labels group by label having count(*) = 1)"
 _CASE_SPLIT = "case when date_received between '2021-01-01' and '2024-12-31' then 'train' when date_received between '2025-01-01' and '2025-02-28' then 'excluded' when date_received between '2025-03-01' and '2025-06-30' then 'validation' when date_received between '2025-07-01' and '2025-12-31' then 'test' else 'out_of_range' end"
 _CATEGORY = "concat_ws(' | ', canonical_product, coalesce(nullif(sub_product, ''), '-'), coalesce(nullif(issue, ''), '-'), coalesce(nullif(sub_issue, ''), '-'))"
 _ISO = "case when regexp_matches(date_received, '^\\d{4}-\\d{2}-\\d{2}([T ].*)?$') then try_cast(substr(date_received, 1, 10) as date) end"
@@ -138,6 +142,14 @@ ORACLES = {
     "coverage_check": "with g as (select run_id, count(distinct trim(complaint_id, ' \t\n\r')) as got from raw_records where trim(coalesce(complaint_id, ''), ' \t\n\r') <> '' group by 1) select run_id, records as expected, coalesce(got, 0) as got, coalesce(got, 0) = records as complete from fetch_stats left join g using (run_id)",
     "two_ended_union": "select cast(date_trunc('year', date_received) as date) as year, count(distinct complaint_id) as n from complaints group by 1",
     "typed_records": "select * from complaints",
+    "unrecognised_pairs": f"with {_DIMS} select r.product, r.sub_product, count(*) as n from raw_records r left join subs s on s.sub = r.sub_product left join labels l on l.label = r.product and l.product = s.product where nullif(r.sub_product, '') is not null and l.product is null group by all",
+    "record_problems": f"""with {_DIMS}, r as (select r.*, {_ISO} as received, {_ISO.replace('date_received', 'date_sent_to_company')} as sent, s.product as by_sub, l.product as filed, o.product as only_one from raw_records r
+      left join subs s on s.sub = nullif(r.sub_product, '') left join labels l on l.label = r.product and l.product = s.product left join sole o on o.label = r.product),
+    p as (select case when trim(coalesce(complaint_id, ''), ' \t\n\r') = '' then 'no id' when trim(coalesce(complaint_what_happened, ''), ' \t\n\r') = '' then 'no narrative' when coalesce(product, '') = '' then 'no product'
+      when coalesce(company_response, '') = '' then 'no outcome' when coalesce(timely, '') not in ('Yes', 'No') then 'timely is neither Yes nor No' when received is null then 'no day received'
+      when company_response not in ('Closed with explanation', 'Closed with monetary relief', 'Closed with non-monetary relief', 'Untimely response', 'In progress') then 'unknown outcome' when sent is null then 'no day sent'
+      when coalesce(issue, '') = '' then 'no issue' when coalesce(company, '') = '' then 'no company' when coalesce(zip_code, '') = '' then 'no zip code' when coalesce(submitted_via, '') = '' then 'no channel'
+      when coalesce(case when by_sub is not null then filed else only_one end, '') = '' then 'unresolved product' end as problem from r) select problem, count(*) as n from p where problem is not null group by 1""".replace("\\t\\n\\r", "\t\n\r"),
     "iso_date": f"select delivery_id, {_ISO} as received, case timely when 'Yes' then true when 'No' then false end as timely from raw_records",
     "canonical_product": "select complaint_id, canonical_product as product from complaints",
     "split_counts": f"select {_CASE_SPLIT} as split, count(*) as n, count(*) filter (where label = 'needed_human') as n_positive, count(*) filter (where label = 'excluded') as n_excluded from complaints group by 1",
