@@ -68,6 +68,12 @@ P1_FOUND_SQL = f"""
 with {_SETS}, m as (select a.complaint_id as i, b.complaint_id as j, count(*) as k from s a join s b on a.g = b.g and a.split = 'train' and b.split in ('validation', 'test') group by all)
 select least(i, j) as complaint_id_1, greatest(i, j) as complaint_id_2 from m join z x on x.complaint_id = i join z y on y.complaint_id = j where k >= 0.6 * (x.n + y.n - k)
 """
+P1_REPORT_SQL = f"""
+with {_SETS}, m as (select a.complaint_id as i, b.complaint_id as j, count(*) as k from s a join s b on a.g = b.g and a.split = 'train' and b.split in ('validation', 'test') group by all),
+p as (select j as complaint_id, count(*) as pairs, max(k / (x.n + y.n - k)) as best from m join z x on x.complaint_id = i join z y on y.complaint_id = j where k >= 0.6 * (x.n + y.n - k) group by j)
+select split, submitted_via, count(*) as n_complaints, count(pairs) as n_overlapping, count(*) filter (where best = 1) as n_same_words, cast(coalesce(sum(pairs), 0) as bigint) as n_pairs
+from complaints left join p using (complaint_id) where split in ('validation', 'test') group by all
+"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_report": p1_report, "p4_found": p4_found, "p4_groups": p4_groups}
-ORACLES = {"p1_found": P1_FOUND_SQL, "p4_found": P4_FOUND_SQL}
+ORACLES = {"p1_found": P1_FOUND_SQL, "p1_report": P1_REPORT_SQL, "p4_found": P4_FOUND_SQL}
