@@ -135,7 +135,7 @@ def trace_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three cases of readable length for each outcome, in seeded order."""
     rows = cases(spark, sf_dir).where(F.col("split").isin(EVAL_SPLITS) & F.length("narrative").between(400, 2000)).select("complaint_id", "label")
     w = Window.partitionBy("label").orderBy(shuffled(SEED, F.col("complaint_id")), "complaint_id")
-    return rows.withColumn("place", F.row_number().over(w)).where("place <= 3")
+    return rows.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 3")
 
 
 def _cells() -> F.Column:
@@ -209,17 +209,17 @@ def onehot_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = feature_frame(spark, sf_dir).where("split = 'train'")
     counts = train.select(F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in INTAKE]), F.array(*INTAKE))).alias("column_name", "value")).groupBy("column_name", "value").agg(F.count("*").alias("n"))
     merged = counts.groupBy("column_name", F.when(F.col("n") >= 5, F.col("value")).otherwise("(rare)").alias("value")).agg(F.sum("n").alias("n"))
-    return merged.withColumn("code", F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("n"), "value")) - 1)
+    return merged.withColumn("code", F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("n"), "value")).cast("long") - 1)
 
 
 _ONE_PAST = "select complaint_id, split, label, date_received, regexp_replace(upper(company), '[^A-Z0-9]+', '', 'g') as company_id from complaints"
 _ASOF = f"""r as ({_ONE_PAST}), a as (select *,
-  coalesce(sum(case when split = 'train' and label <> 'excluded' then 1 else 0 end) over w, 0) as n_prior,
-  coalesce(sum(case when split = 'train' and label = 'needed_human' then 1 else 0 end) over w, 0) as n_prior_human
+  cast(coalesce(sum(case when split = 'train' and label <> 'excluded' then 1 else 0 end) over w, 0) as bigint) as n_prior,
+  cast(coalesce(sum(case when split = 'train' and label = 'needed_human' then 1 else 0 end) over w, 0) as bigint) as n_prior_human
   from r window w as (partition by company_id order by date_received range between unbounded preceding and interval 1 day preceding))"""
 _DECIDED = f"""{_ASOF}, d as (select complaint_id, split, round(1 - (n_prior_human + 1) / (n_prior + 2), 6) as c, case when label = 'needed_human' then 1 else 0 end as y, n_prior, n_prior_human
   from a where split in ('validation', 'test') and label <> 'excluded'), v as (select * from d where split = 'validation')"""
-_POINTS = f"with {_DECIDED}, g as (select c, count(*) as w, sum(y) as wy from v group by c), p as (select c as tau, sum(w) over o as n_auto, sum(wy) over o as n_false from g window o as (order by c desc))"
+_POINTS = f"with {_DECIDED}, g as (select c, count(*) as w, sum(y) as wy from v group by c), p as (select c as tau, cast(sum(w) over o as bigint) as n_auto, cast(sum(wy) over o as bigint) as n_false from g window o as (order by c desc))"
 _SAMPLE = f"s as (select complaint_id, y, round(n / least(n, {PER_CLASS}), 6) as weight from (select *, row_number() over (partition by y order by md5('{SEED}:' || complaint_id), complaint_id) as k, count(*) over (partition by y) as n from v) where k <= {PER_CLASS})"
 _PICKS = f"t as (select *, row_number() over (order by complaint_id) - 1 as i, count(*) over () as n from v), k as (select draw, cast('0x' || substr(md5('{SEED}:' || draw || ':' || j), 1, 8) as bigint) % (select max(n) from t) as i from range({DRAWS}) x(draw), range((select max(n) from t)) y(j)), z as (select * from k join t using (i))"
 _RANK = "(select draw, sum(case when y = 1 then below + same / 2 else 0 end) / (sum(y) * sum(1 - y)) as auc from (select draw, y, sum(1 - y) over (partition by draw order by {0} range between unbounded preceding and current row) - sum(1 - y) over (partition by draw, {0}) as below, sum(1 - y) over (partition by draw, {0}) as same from z2) group by draw)"
@@ -245,7 +245,7 @@ ORACLES = {
     "ece": f"with {_DECIDED}, b as (select count(*) as n, avg(c) as s, avg(1 - y) as o from v group by {_BIN}) select round(coalesce(sum(n * abs(s - o)) / sum(n), 0), 6) as ece from b",
     "auc_ap_brier": f"with {_DECIDED}, q as (select split, y, round(1 - c, 6) as p from d) select split, round(auc, 6) as auc, round(ap, 6) as average_precision, round(brier, 6) as brier from {_BY_SPLIT}",
     "envelope": f"{_POINTS}, e as (select cast(ceil(round(n_false / n_auto * 300 / 0.30, 9)) as int) as b, max(n_auto) as m from p group by 1), gg as (select b from range(301) x(b)) select round(gg.b * 0.30 / 300, 6) as budget, round(coalesce(max(e.m), 0) / (select count(*) from v), 6) as arr from gg left join e on e.b <= gg.b group by gg.b",
-    "tau_sweep": f"with {_DECIDED}, t as (select round(1 - i / 399, 6) as tau from range(400) x(i)) select tau, count(c) as n_auto, coalesce(sum(y), 0) as n_false from t left join v on c >= tau group by tau",
+    "tau_sweep": f"with {_DECIDED}, t as (select round(1 - i / 399, 6) as tau from range(400) x(i)) select tau, count(c) as n_auto, cast(coalesce(sum(y), 0) as bigint) as n_false from t left join v on c >= tau group by tau",
     "stratified_sample": f"with {_DECIDED}, {_SAMPLE} select complaint_id, y, weight from s",
     "eval_join": f"with {_DECIDED}, {_SAMPLE} select complaint_id, c, v.y, weight from v join s using (complaint_id)",
     "base_rate": f"with {_DECIDED}, {_SAMPLE} select round(sum(weight * y) / sum(weight), 6) as base_rate from s",

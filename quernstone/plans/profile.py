@@ -106,7 +106,7 @@ def length_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = lambda k: F.expr(f"total * {k} div 10")
     hit = lambda k: (F.col("below") <= place(k)) & (place(k) < F.col("below") + F.col("n"))
     rows = upto.join(F.broadcast(total))  # one row
-    return rows.agg(F.max(F.when(hit(1), F.col("chars"))).alias("p10"), F.max(F.when(hit(9), F.col("chars"))).alias("p90"))
+    return rows.agg(F.max(F.when(hit(1), F.col("chars"))).cast("long").alias("p10"), F.max(F.when(hit(9), F.col("chars"))).cast("long").alias("p90"))
 
 
 def company_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
