@@ -37,8 +37,9 @@ def class_members(profile: DataFrame) -> DataFrame:
 def pairs_by_key(keys: DataFrame, apart: int) -> DataFrame:
     """Distinct pairs (x, y), x < y, of classes that share a key and whose sketches differ in at most ``apart`` bits, from (key, cls, sketch).
 
-    Keys of one class are dropped before anything is paired. Large groups are cut into blocks, and every two blocks meet in
-    a task of their own, so no task gathers a group, and none of its pairs is left out.
+    Keys of one class are dropped before anything is paired. Large groups are cut into blocks, and every two blocks meet under a
+    key of their own, so that pairing a group is spread over tasks and none of its pairs is left out. Before that the narrow rows
+    of a key are counted in one task (sorted, spilling to disk), which a key shared by very many classes would hold up.
     """
     # moved by key once; the rest up to the checkpoint happens where the rows then are
     counted = keys.repartition("key").distinct().withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
