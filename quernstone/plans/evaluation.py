@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quernstone.functions.expressions import company_key
 from quernstone.functions.vocabulary import EVAL_SPLITS, RETIRED_LABEL
-from quernstone.operators import metrics as M
+from quernstone.operators import bootstrap as B, metrics as M
 from quernstone.operators.history import as_of, rate
 from quernstone.operators.samples import filled, first_per_cell, shuffled, stratified
 from quernstone.plans.ingest import cases, scratch
@@ -17,6 +17,8 @@ from quernstone.plans.session import checkpointed
 from quernstone.sources import transcripts
 
 SEED, PER_CLASS, DRAWS = "20250701", 100, 20
+#: The reference's number of draws. bootstrap_arr and paired_auc keep DRAWS, which their SQL states.
+FULL_DRAWS = 1000
 TARGETS = [0.01, 0.02, 0.05, 0.10, 0.15, 0.20, 0.25]
 
 
@@ -131,6 +133,29 @@ def paired_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gain.agg(F.round(F.avg("gain"), 6).alias("mean"), F.round(F.percentile("gain", 0.025), 6).alias("low"), F.round(F.percentile("gain", 0.975), 6).alias("high"))
 
 
+def _interval(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Mean and 95 % percentile interval over draws."""
+    return df.groupBy(*by).agg(F.round(F.avg(value), 6).alias("mean"), F.round(F.percentile(value, 0.025), 6).alias("low"), F.round(F.percentile(value, 0.975), 6).alias("high"))
+
+
+def bootstrap_arr_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each budget the share that can close unattended, with its interval over the reference's number of draws; nulls where no
+    threshold holds the budget."""
+    rows = checkpointed(_validation(spark, sf_dir))
+    best = M.best_at(M.frontier(rows), TARGETS, rows.count()).select("target", F.round("arr", 6).alias("arr"))
+    drawn = _interval(B.shares(rows, "complaint_id", "c", "y", TARGETS, FULL_DRAWS, SEED), ["target"], "arr")
+    reached = lambda c: F.when(F.col("arr").isNotNull(), F.col(c)).alias(c)
+    return best.join(drawn, "target", "left").select("target", "arr", reached("mean"), reached("low"), reached("high"))
+
+
+def paired_auc_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gain of paired_auc over the reference's number of draws."""
+    rows = company_asof(spark, sf_dir).where("split = 'validation' and label <> 'excluded'")
+    p = F.round((F.col("n_prior_human") + 1) / (F.col("n_prior") + 2), 6)
+    rows = checkpointed(rows.select("complaint_id", p.alias("p"), (-F.col("n_prior")).cast("double").alias("q"), F.when(F.col("label") == "needed_human", 1).otherwise(0).alias("y")))
+    return _interval(B.gains(rows, "complaint_id", "y", [("q", "p")], FULL_DRAWS, SEED), [], "gain")
+
+
 def trace_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three cases of readable length for each outcome, in seeded order."""
     rows = cases(spark, sf_dir).where(F.col("split").isin(EVAL_SPLITS) & F.length("narrative").between(400, 2000)).select("complaint_id", "label")
@@ -222,6 +247,7 @@ _DECIDED = f"""{_ASOF}, d as (select complaint_id, split, round(1 - (n_prior_hum
 _POINTS = f"with {_DECIDED}, g as (select c, count(*) as w, sum(y) as wy from v group by c), p as (select c as tau, cast(sum(w) over o as bigint) as n_auto, cast(sum(wy) over o as bigint) as n_false from g window o as (order by c desc))"
 _SAMPLE = f"s as (select complaint_id, y, round(n / least(n, {PER_CLASS}), 6) as weight from (select *, row_number() over (partition by y order by md5('{SEED}:' || complaint_id), complaint_id) as k, count(*) over (partition by y) as n from v) where k <= {PER_CLASS})"
 _PICKS = f"t as (select *, row_number() over (order by complaint_id) - 1 as i, count(*) over () as n from v), k as (select draw, cast('0x' || substr(md5('{SEED}:' || draw || ':' || j), 1, 8) as bigint) % (select max(n) from t) as i from range({DRAWS}) x(draw), range((select max(n) from t)) y(j)), z as (select * from k join t using (i))"
+_FULL_PICKS = _PICKS.replace(f"range({DRAWS})", f"range({FULL_DRAWS})")
 _RANK = "(select draw, sum(case when y = 1 then below + same / 2 else 0 end) / (sum(y) * sum(1 - y)) as auc from (select draw, y, sum(1 - y) over (partition by draw order by {0} range between unbounded preceding and current row) - sum(1 - y) over (partition by draw, {0}) as below, sum(1 - y) over (partition by draw, {0}) as same from z2) group by draw)"
 _BY_SPLIT = "(select split, sum(case when y = 1 then below + same / 2 else 0 end) / (sum(y) * sum(1 - y)) as auc, sum(case when y = 1 then pos_at / all_at end) / sum(y) as ap, avg((p - y) * (p - y)) as brier from (select *, sum(1 - y) over (partition by split order by p range between unbounded preceding and current row) - sum(1 - y) over (partition by split, p) as below, sum(1 - y) over (partition by split, p) as same, sum(y) over (partition by split order by p desc range between unbounded preceding and current row) as pos_at, count(*) over (partition by split order by p desc range between unbounded preceding and current row) as all_at from q) group by split)"
 _BIN = "least(greatest(cast(ceil(round(c * 10, 9)) as int) - 1, 0), 9)"
@@ -232,7 +258,7 @@ _CELLS = f"""select complaint_id, unnest(list_filter([concat_ws('/', 'split_prod
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "company_asof": company_asof, "frontier": frontier, "best_at_frr": best_at_frr, "reliability": reliability, "ece": ece, "auc_ap_brier": auc_ap_brier, "envelope": envelope, "tau_sweep": tau_sweep,
     "stratified_sample": stratified_sample, "eval_join": eval_join, "base_rate": base_rate, "eval_summary": eval_summary, "scores_semi": scores_semi, "resume_anti": resume_anti, "missing_anti": missing_anti,
-    "bootstrap_arr": bootstrap_arr, "paired_auc": paired_auc, "trace_pick": trace_pick, "coverage_cells": coverage_cells, "coverage_sample": coverage_sample, "majority": majority, "score_table": score_table, "transcript_replay": transcript_replay,
+    "bootstrap_arr": bootstrap_arr, "paired_auc": paired_auc, "bootstrap_arr_full": bootstrap_arr_full, "paired_auc_full": paired_auc_full, "trace_pick": trace_pick, "coverage_cells": coverage_cells, "coverage_sample": coverage_sample, "majority": majority, "score_table": score_table, "transcript_replay": transcript_replay,
     "shape_features": shape_features, "feature_frame": feature_frame, "onehot_vocab": onehot_vocab,
 }
 _FEATURES = "select complaint_id, split, date_received, " + ", ".join(f"coalesce({c}, '(none)') as {c}" for c in INTAKE) + ", case when label = 'needed_human' then 1 else 0 end as y from complaints where label <> 'excluded'"
@@ -255,6 +281,8 @@ ORACLES = {
     "missing_anti": "select distinct trim(complaint_id, ' \t\n\r') as complaint_id from raw_records where trim(coalesce(complaint_id, ''), ' \t\n\r') <> '' and trim(complaint_id, ' \t\n\r') not in (select complaint_id from complaints)",
     "bootstrap_arr": f"with {_DECIDED}, {_PICKS}, g as (select draw, c, count(*) as w, sum(y) as wy from z group by all), p as (select draw, sum(w) over o as n_auto, sum(wy) over o as n_false from g window o as (partition by draw order by c desc)), b as (select draw, max(n_auto) as m from p where n_false <= 0.25 * n_auto group by draw), rr as (select coalesce(m, 0) / (select count(*) from v) as arr from range({DRAWS}) x(draw) left join b using (draw)) select round(avg(arr), 6) as mean, round(quantile_cont(arr, 0.025), 6) as low, round(quantile_cont(arr, 0.975), 6) as high from rr",
     "paired_auc": f"with {_DECIDED}, {_PICKS}, z2 as (select draw, y, round((n_prior_human + 1) / (n_prior + 2), 6) as p, -n_prior as q from z), ra as {_RANK.format('p')}, rb as {_RANK.format('q')}, rr as (select ra.auc - rb.auc as gain from ra join rb using (draw)) select round(avg(gain), 6) as mean, round(quantile_cont(gain, 0.025), 6) as low, round(quantile_cont(gain, 0.975), 6) as high from rr",
+    "bootstrap_arr_full": f"{_POINTS}, {_FULL_PICKS}, t7 as (select unnest({TARGETS}::double[]) as target), b7 as (select target, max(n_auto) / (select count(*) from v) as arr from t7 join p on n_false <= target * n_auto group by target), gd as (select draw, c, count(*) as w, sum(y) as wy from z group by all), pd as (select draw, sum(w) over o as n_auto, sum(wy) over o as n_false from gd window o as (partition by draw order by c desc)), bd as (select target, draw, max(n_auto) as m from t7 join pd on n_false <= target * n_auto group by target, draw), rd as (select target, coalesce(m, 0) / (select count(*) from v) as a from t7 cross join range({FULL_DRAWS}) x(draw) left join bd using (target, draw)), id as (select target, avg(a) as m, quantile_cont(a, 0.025) as l, quantile_cont(a, 0.975) as h from rd group by target) select target, round(arr, 6) as arr, case when arr is not null then round(m, 6) end as mean, case when arr is not null then round(l, 6) end as low, case when arr is not null then round(h, 6) end as high from id left join b7 using (target)",
+    "paired_auc_full": f"with {_DECIDED}, {_FULL_PICKS}, z2 as (select draw, y, round((n_prior_human + 1) / (n_prior + 2), 6) as p, -n_prior as q from z), ra as {_RANK.format('p')}, rb as {_RANK.format('q')}, rr as (select ra.auc - rb.auc as gain from ra join rb using (draw)) select round(avg(gain), 6) as mean, round(quantile_cont(gain, 0.025), 6) as low, round(quantile_cont(gain, 0.975), 6) as high from rr",
     "trace_pick": f"select complaint_id, label, place from (select complaint_id, label, row_number() over (partition by label order by md5('{SEED}:' || complaint_id), complaint_id) as place from complaints where split in ('validation', 'test') and length(narrative) between 400 and 2000) where place <= 3",
     "coverage_cells": f"select cell, count(*) as n from ({_CELLS}) group by 1",
     "coverage_sample": f"with e as ({_CELLS}), f as (select distinct complaint_id from (select *, row_number() over (partition by cell order by cast(complaint_id as bigint)) as k from e) where k <= 3), o as (select complaint_id, row_number() over (order by md5('{SEED}:' || complaint_id), complaint_id) as k from complaints where complaint_id not in (select complaint_id from f)) select complaint_id, split, label from complaints where complaint_id in (select complaint_id from f) or complaint_id in (select complaint_id from o where k <= greatest(0, 500 - (select count(*) from f)))",
