@@ -10,7 +10,6 @@ from quernstone.functions.expressions import AMOUNT, DATE, REDACTED_AMOUNT, REDA
 from quernstone.functions.vocabulary import EVAL_SPLITS, GENERIC_WORDS
 from quernstone.operators import retrieval as R
 from quernstone.operators.masking import mask, mentions_own
-from quernstone.plans.evaluation import INTAKE
 from quernstone.plans.ingest import cases
 from quernstone.plans.session import checkpointed
 
@@ -106,23 +105,6 @@ def find_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(info, "neighbour").select("query", "neighbour", "label", "issue", F.round("similarity", 4).alias("similarity"), "rank")
 
 
-def lr_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P(needed human) of evaluation cases by logistic regression on one-hot intake columns (hashed per value)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import FeatureHasher
-
-    from quernstone.plans.evaluation import feature_frame
-
-    rows = FeatureHasher(inputCols=INTAKE, outputCol="features", numFeatures=1 << 14).transform(feature_frame(spark, sf_dir).withColumn("y", F.col("y").cast("double")))
-    train = rows.where("split = 'train'").select("features", "y")
-    n = train.count()
-    model = LogisticRegression(labelCol="y", regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=50).fit(train)
-    from pyspark.ml.functions import vector_to_array
-
-    scored = model.transform(rows.where(F.col("split").isin(EVAL_SPLITS)))
-    return scored.select("complaint_id", "split", F.col("y").cast("int").alias("y"), F.round(vector_to_array("probability")[1], 6).alias("p"))
-
-
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(company), '[^a-z0-9]+'), lambda w: length(w) > 2 and w not in (" + ", ".join(f"'{w}'" for w in GENERIC_WORDS) + ")))"
 _FP = "md5(replace(replace(replace(regexp_replace(regexp_replace(upper(narrative), '\\s+', ' ', 'g'), '^ | $', '', 'g'), 'XXXX', 'X'), 'XXX', 'X'), 'XX', 'X'))"
 _TERMS = r"""c as (select canonical_product as g, complaint_id as id, regexp_extract_all(lower(strip_accents(narrative)), '[\p{L}\p{N}_]{2,}') as w from complaints where split = 'train' and label <> 'excluded'),
@@ -134,7 +116,7 @@ z as (select id, sqrt(sum(w * w)) as z from r group by id)"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "eligible_corpus": eligible_corpus, "evidence_flags": evidence_flags, "amounts": amounts_found, "fingerprint_groups": fingerprint_groups, "name_tokens": name_words, "self_naming": self_naming,
-    "mask_names": mask_names, "agent_view": agent_view, "render_view": render_view, "resolution": resolution, "tfidf_weights": tfidf_weights, "similar_to": similar_to, "find_objects": find_objects, "lr_scores": lr_scores,
+    "mask_names": mask_names, "agent_view": agent_view, "render_view": render_view, "resolution": resolution, "tfidf_weights": tfidf_weights, "similar_to": similar_to, "find_objects": find_objects,
 }
 _SEEN = "complaint_id, date_received, canonical_product, product_label, sub_product, issue, sub_issue, narrative, state, zip_code, tags, submitted_via"
 ORACLES = {
