@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quernstone.llm.shingles import verified
+from quernstone.llm.shingles import near, verified
 from quernstone.plans.session import checkpointed
 
 #: Classes under one key that one task pairs at once; larger groups are cut into blocks of this size.
@@ -35,7 +35,7 @@ def class_members(profile: DataFrame) -> DataFrame:
 
 
 def pairs_by_key(keys: DataFrame, apart: int) -> DataFrame:
-    """Distinct pairs (x, y), x < y, of classes that share a key and whose sketches differ in at most ``apart`` bits, from (key, cls, sketch).
+    """Distinct pairs (x, y), x < y, of classes that share a key and whose sketches differ in at most ``apart`` bits (or one has none), from (key, cls, sketch).
 
     Keys of one class are dropped before anything is paired. Large groups are cut into blocks, and every two blocks meet under a
     key of their own, so that pairing a group is spread over tasks and none of its pairs is left out. Before that the narrow rows
@@ -51,7 +51,7 @@ def pairs_by_key(keys: DataFrame, apart: int) -> DataFrame:
     left = meet.where("own = lo").select("key", "lo", "hi", F.col("cls").alias("x0"), F.col("sketch").alias("xs"))
     right = meet.where("own = hi").select("key", "lo", "hi", F.col("cls").alias("y0"), F.col("sketch").alias("ys"))
     # x from the lower block, y from the higher; within one block each pair once
-    pairs = left.join(right, ["key", "lo", "hi"]).where("lo < hi or x0 < y0").where(F.bit_count(F.col("xs").bitwiseXOR(F.col("ys"))) <= apart)
+    pairs = left.join(right, ["key", "lo", "hi"]).where("lo < hi or x0 < y0").where(near("xs", "ys", apart))
     return pairs.select(F.least("x0", "y0").alias("x"), F.greatest("x0", "y0").alias("y")).where("x <> y").distinct()
 
 

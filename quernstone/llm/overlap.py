@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quernstone.llm.linking import class_members
-from quernstone.llm.shingles import SIMILARITY, WORDS, Sets, mix, sequence_sets, sketch_distance, verified
+from quernstone.llm.shingles import SIMILARITY, WORDS, Sets, mix, near, sequence_sets, sketch_distance, verified
 from quernstone.plans.session import checkpointed
 
 
@@ -54,7 +54,7 @@ def _scan(df: DataFrame, id_kind: str, words: int, bands: int, rows: int) -> tup
         met: set[tuple[int, bool]] = set()
         for b in batches:
             sets = sequence_sets(b.column("text").to_pylist(), words)
-            cls, sketch = sets.fingerprints().view(np.int64), sets.sketches().view(np.int64)
+            cls, sketch = sets.fingerprints().view(np.int64), sets.telling_sketches()
             side = b.column("side").to_numpy(zero_copy_only=False).astype(bool)
             buckets = band_keys(sets, bands, rows)
             some = np.flatnonzero(sets.sizes > 0)
@@ -66,7 +66,7 @@ def _scan(df: DataFrame, id_kind: str, words: int, bands: int, rows: int) -> tup
             if len(met) > 1_000_000:
                 met.clear()
             kept = some[fresh]
-            yield pa.RecordBatch.from_arrays([pa.array(buckets[fresh].ravel().view(np.int64)), pa.array(np.repeat(cls[kept], bands)), pa.array(np.repeat(side[kept], bands)), pa.array(np.repeat(sketch[kept], bands))], names=["key", "cls", "side", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(buckets[fresh].ravel().view(np.int64)), pa.array(np.repeat(cls[kept], bands)), pa.array(np.repeat(side[kept], bands)), sketch.take(pa.array(np.repeat(kept, bands)))], names=["key", "cls", "side", "sketch"])
 
     return df.mapInArrow(profile, f"id {id_kind}, side boolean, cls long, n long"), df.mapInArrow(keys, "key long, cls long, side boolean, sketch long")
 
@@ -88,7 +88,7 @@ def cross_split_pairs(df: DataFrame, key: str, text: str, is_eval: Column, words
     # a bucket matters only if both sides are in it, so either side is cut down to the other's buckets by the join itself
     evals = keys.where("side").select("key", F.col("cls").alias("x"), F.col("sketch").alias("xs")).repartition("key").distinct()
     trains = keys.where("not side").select("key", F.col("cls").alias("y"), F.col("sketch").alias("ys")).repartition("key").distinct()
-    met = evals.join(trains, "key").where("x <> y").where(F.bit_count(F.col("xs").bitwiseXOR(F.col("ys"))) <= sketch_distance(tuned_for or similarity)).select("x", "y").distinct()
+    met = evals.join(trains, "key").where("x <> y").where(near("xs", "ys", sketch_distance(tuned_for or similarity))).select("x", "y").distinct()
     reps = members.where("id = rep").select("cls", "rep")
     named = met.join(reps.select(F.col("cls").alias("x"), F.col("rep").alias("p")), "x").join(reps.select(F.col("cls").alias("y"), F.col("rep").alias("q")), "y")
     ordered = checkpointed(named.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())

@@ -6,7 +6,7 @@ Hamming distance H differ in at most t_i bits of some partition i whenever the s
 H. Thresholds are -1 (partition unused), 0 or 1, allocated by dynamic programming so that the estimated number of
 candidates is least; the estimates are second moments of the partitions' keys, sketched over all texts. A partition with
 threshold 0 is probed by the hash of its bits, one with threshold 1 also by the hashes with one bit left out. Candidates are
-verified by 64-bit sketches first, then exactly.
+verified by 64-bit sketches first (but those of short texts), then exactly.
 
 Since similar texts have sizes within a factor of the similarity, sizes are cut into levels of a factor of two, each with its own
 number of partitions; a text is entered at its own level, and at the next lower one if a similar text could lie there.
@@ -237,7 +237,7 @@ def _keys(df: DataFrame, text: str, words: int, similarity: float, group_of: np.
         met: set[int] = set()
         for batch in batches:
             sets = sequence_sets(batch.column("text").to_pylist(), words)
-            cls, sketch = sets.fingerprints().view(np.int64), sets.sketches().view(np.int64)
+            cls, sketch = sets.fingerprints().view(np.int64), sets.telling_sketches()
             fresh = np.zeros(len(cls), bool)
             for i, c in enumerate(cls.tolist()):
                 if c not in met:
@@ -249,7 +249,7 @@ def _keys(df: DataFrame, text: str, words: int, similarity: float, group_of: np.
                 scheme = schemes[level]
                 doc, _, _, k = keys_of(sets, chosen & fresh, scheme, group_of, scheme.thresholds)
                 if len(k):
-                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(cls[doc]), pa.array(sketch[doc])], names=["key", "cls", "sketch"])
+                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(cls[doc]), sketch.take(pa.array(doc))], names=["key", "cls", "sketch"])
 
     return df.select(F.col(text).alias("text")).mapInArrow(run, "key long, cls long, sketch long")
 
@@ -257,7 +257,8 @@ def _keys(df: DataFrame, text: str, words: int, similarity: float, group_of: np.
 def near_duplicates(df: DataFrame, key: str, text: str, words: int = WORDS, similarity: float = SIMILARITY, tuned_for: float | None = None) -> Linked:
     """All pairs of texts whose sets of ``words`` consecutive words have at least ``similarity`` (Jaccard), as classes and links.
 
-    Sketches are compared so that of pairs as alike as ``tuned_for`` (``similarity`` if not given) one in some thousands is lost.
+    Sketches are compared so that of pairs as alike as ``tuned_for`` (``similarity`` if not given) one in some thousands is lost;
+    short texts, whose sketches tell too little, go to the exact check unseen.
 
     Texts with equal sets form a class; see Linked. Null texts and texts of fewer than ``words`` words have no sequences and are
     like no other, equal ones too. ``key`` must be unique and not null; rows with a null key are left out. Further columns play no

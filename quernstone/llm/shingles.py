@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quernstone.operators.delivery import BLOCK_BYTES, BLOCK_ROWS
 
@@ -18,6 +18,8 @@ HASH_BITS, ANCHOR_BITS = 51, 16
 _DOCS, _CHARS = 1 << (64 - HASH_BITS), 8 << 20
 #: Bytes of a filter of identifiers that may be broadcast.
 FILTER_BYTES = 16 << 20
+#: Sequences from which on nearly all 64 ranges of a sketch are filled, so that its bits are as good as independent.
+SKETCHED = 192
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that scatters them."""
@@ -76,8 +78,21 @@ class Sets:
         return out
 
 
+    def telling_sketches(self) -> pa.Array:
+        """Sketches as signed numbers; null for texts of fewer than ``SKETCHED`` sequences, whose borrowed bits depend on each other."""
+        return pa.array(self.sketches().view(np.int64), mask=self.sizes < SKETCHED)
+
+
+def near(left: str, right: str, apart: int) -> Column:
+    """Whether two sketches differ in at most ``apart`` bits; true where one is null, which leaves it to the exact check."""
+    return F.col(left).isNull() | F.col(right).isNull() | (F.bit_count(F.col(left).bitwiseXOR(F.col(right))) <= apart)
+
+
 def sketch_distance(similarity: float, deviations: float = 3.5) -> int:
-    """Bits in which the sketches of two texts of this similarity may differ, but for so many standard deviations."""
+    """Bits in which the sketches of two texts of this similarity may differ, but for so many standard deviations.
+
+    Holds for independent bits; see ``SKETCHED``.
+    """
     differ = (1 - similarity) / 2
     return int(64 * differ + deviations * (64 * differ * (1 - differ)) ** 0.5 + 1)
 
