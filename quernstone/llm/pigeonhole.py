@@ -31,8 +31,9 @@ BUCKETS, GROUPS = 256, 32
 BITS = 3.5
 #: Cells of the sketch of one partition's keys; its second moment is then known to some 20 %.
 CELLS = 64
-#: A text does not use a partition in which it has fewer bits: so few are shared by chance. Texts that agree there have
-#: equally few, so both leave it out.
+#: A text does not use a partition in which it has fewer bits: so few are shared by chance. Texts of one limit that agree there
+#: have equally few, so both leave it out. Where one bit may differ (threshold 1), a text one bit short of the limit still enters
+#: all its bits, which a text at the limit probes with one left out.
 FEW = 4
 #: Short texts are held to fewer: one for every so many sequences.
 SHARE = 35
@@ -85,16 +86,18 @@ def keys_of(sets: Sets, chosen: np.ndarray, scheme: Scheme, group_of: np.ndarray
     total = np.add.reduceat(value, first)
     count = np.diff(np.concatenate([first, [len(cell)]]))
     at = cell[first]
-    enough = count >= np.minimum(FEW, np.maximum(1, sets.sizes[at // scheme.partitions] // SHARE))
+    limit = np.minimum(FEW, np.maximum(1, sets.sizes[at // scheme.partitions] // SHARE))
+    short = (count == limit - 1) & (thresholds[at % scheme.partitions] >= 1)
+    enough = (count >= limit) | short
     cell, value = cell[np.repeat(enough, count)], value[np.repeat(enough, count)]
-    at, total, count = at[enough], total[enough], count[enough]
+    at, total, count, short = at[enough], total[enough], count[enough], short[enough]
     wide = thresholds[at % scheme.partitions] >= 1
     # one bit left out; the last bit is never left out, nothing would be left to tell texts apart
-    member = np.repeat(wide & (count > 1), count)
+    member = np.repeat(wide & (count > 1) & ~short, count)
     less = np.repeat(total, count)[member] - value[member]
     all_at = np.concatenate([at, cell[member]])
     all_sum = np.concatenate([total, less])
-    need = np.concatenate([np.zeros(len(at), np.int64), np.ones(int(member.sum()), np.int64)])
+    need = np.concatenate([short.astype(np.int64), np.ones(int(member.sum()), np.int64)])
     doc_out, part_out = all_at // scheme.partitions, all_at % scheme.partitions
     salt = mix((part_out + (scheme.level << 32)).astype(np.uint64))
     return doc_out, part_out, need, mix(all_sum ^ salt)

@@ -1,0 +1,20 @@
+import numpy as np
+import pytest
+
+from quernstone.llm.pigeonhole import BUCKETS, Scheme, keys_of
+from quernstone.llm.shingles import Sets, mix
+
+
+@pytest.mark.parametrize("threshold", [0, 1])
+def test_a_bit_short_of_the_limit_is_met_where_one_may_differ(threshold):
+    """Two texts of 200 and 199 sequences (limit 4), with 4 and 3 of them in the first partition."""
+    anchors = np.array([1] * 4 + [2] * 196, np.uint64)
+    raw = np.arange(200, dtype=np.uint64) * np.uint64(977)
+    two = np.concatenate([raw, raw[1:]])
+    sets = Sets(mix(two), two, np.concatenate([anchors, anchors[1:]]), np.repeat([0, 1], [200, 199]), np.array([200, 199]))
+    group_of = np.ones(BUCKETS, np.int64)
+    group_of[int(mix(anchors[:1])[0] & np.uint64(BUCKETS - 1))] = 0
+    thresholds = np.array([threshold, -1])
+    doc, part, need, key = keys_of(sets, np.array([True, True]), Scheme(7, 2, 1, thresholds), group_of, thresholds)
+    assert set(part.tolist()) == {0} and bool(np.isin(key[doc == 1], key[doc == 0]).any()) == (threshold == 1)
+    assert need[doc == 1].tolist() == [1] * threshold
