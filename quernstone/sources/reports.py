@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 
 #: Rows a report table may have.
 MOST_ROWS = 1000
+#: Points a frontier may have as JSON.
+MOST_POINTS = 100_000
 
 
 def share(part: int, whole: int) -> str:
@@ -29,5 +31,8 @@ def manifest(facts: dict[str, Any]) -> str:
 
 
 def points_json(points: DataFrame) -> str:
-    """Points of a frontier as JSON, by descending threshold."""
-    return json.dumps([r.asDict() for r in points.orderBy(points["tau"].desc()).limit(100_000).collect()])
+    """Points of a frontier as JSON, by descending threshold; more than ``MOST_POINTS`` raise."""
+    rows = points.orderBy(points["tau"].desc()).limit(MOST_POINTS + 1).collect()
+    if len(rows) > MOST_POINTS:
+        raise ValueError("too many points for a report")
+    return json.dumps([r.asDict() for r in rows])
