@@ -4,6 +4,7 @@ less sure it is that one can close unattended."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -19,6 +20,8 @@ from quernstone.sources import transcripts
 SEED, PER_CLASS, DRAWS = "20250701", 100, 20
 #: The reference's number of draws. bootstrap_arr and paired_auc keep DRAWS, which their SQL states.
 FULL_DRAWS = 1000
+#: The reference's sizes of samples; the queries ending in _full use them, the others PER_CLASS and 500, which their SQL states.
+FULL_PER_CLASS, FULL_COVERAGE = 250, 3000
 TARGETS = [0.01, 0.02, 0.05, 0.10, 0.15, 0.20, 0.25]
 
 
@@ -74,34 +77,34 @@ def tau_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.sweep(_validation(spark, sf_dir))
 
 
-def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stratified_sample(spark: SparkSession, sf_dir: str, per_class: int = PER_CLASS) -> DataFrame:
     rows = _validation(spark, sf_dir)
-    return stratified(rows, "y", "complaint_id", PER_CLASS, SEED).select("complaint_id", "y", F.round("weight", 6).alias("weight"))
+    return stratified(rows, "y", "complaint_id", per_class, SEED).select("complaint_id", "y", F.round("weight", 6).alias("weight"))
 
 
-def eval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+def eval_join(spark: SparkSession, sf_dir: str, per_class: int = PER_CLASS) -> DataFrame:
     """Sampled cases with confidence, truth and weight."""
-    sample = stratified_sample(spark, sf_dir).select("complaint_id", "weight")
+    sample = stratified_sample(spark, sf_dir, per_class).select("complaint_id", "weight")
     return _validation(spark, sf_dir).join(sample, "complaint_id").select("complaint_id", "c", "y", "weight")
 
 
-def base_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eval_join(spark, sf_dir).agg(F.round(F.sum(F.col("weight") * F.col("y")) / F.sum("weight"), 6).alias("base_rate"))
+def base_rate(spark: SparkSession, sf_dir: str, per_class: int = PER_CLASS) -> DataFrame:
+    return eval_join(spark, sf_dir, per_class).agg(F.round(F.sum(F.col("weight") * F.col("y")) / F.sum("weight"), 6).alias("base_rate"))
 
 
-def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def eval_summary(spark: SparkSession, sf_dir: str, per_class: int = PER_CLASS) -> DataFrame:
     """Sampled decisions by disposition: how many, what weight, how many wrong."""
-    rows = eval_join(spark, sf_dir).withColumn("disposition", F.when(F.col("c") >= 0.8, "close").otherwise("hand_over"))
+    rows = eval_join(spark, sf_dir, per_class).withColumn("disposition", F.when(F.col("c") >= 0.8, "close").otherwise("hand_over"))
     return rows.groupBy("disposition").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"), F.sum(F.when(F.col("disposition") == "close", F.col("y")).otherwise(1 - F.col("y"))).alias("n_wrong"))
 
 
-def scores_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decided(spark, sf_dir).join(stratified_sample(spark, sf_dir), "complaint_id", "left_semi")
+def scores_semi(spark: SparkSession, sf_dir: str, per_class: int = PER_CLASS) -> DataFrame:
+    return decided(spark, sf_dir).join(stratified_sample(spark, sf_dir, per_class), "complaint_id", "left_semi")
 
 
-def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+def resume_anti(spark: SparkSession, sf_dir: str, per_class: int = PER_CLASS) -> DataFrame:
     """Evaluation cases that no sample holds yet, counted per split."""
-    return decided(spark, sf_dir).join(stratified_sample(spark, sf_dir), "complaint_id", "left_anti").groupBy("split").agg(F.count("*").alias("n"))
+    return decided(spark, sf_dir).join(stratified_sample(spark, sf_dir, per_class), "complaint_id", "left_anti").groupBy("split").agg(F.count("*").alias("n"))
 
 
 def missing_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,16 +182,16 @@ def coverage_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases(spark, sf_dir).select(F.explode(_cells()).alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
 
 
-def coverage_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three cases of every cell, filled to 500 in seeded order."""
+def coverage_sample(spark: SparkSession, sf_dir: str, target: int = 500) -> DataFrame:
+    """The first three cases of every cell, filled to ``target`` in seeded order."""
     rows = cases(spark, sf_dir)
     chosen = checkpointed(first_per_cell(rows, _cells(), "complaint_id", F.col("complaint_id").cast("long"), 3))
-    return filled(rows.select("complaint_id", "split", "label"), chosen, "complaint_id", 500, SEED)
+    return filled(rows.select("complaint_id", "split", "label"), chosen, "complaint_id", target, SEED)
 
 
-def transcript_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transcript_replay(spark: SparkSession, sf_dir: str, per_class: int = PER_CLASS) -> DataFrame:
     """Episodes of the sampled cases written as JSON lines, read back, scored: accepted, undecided and broken off."""
-    rows = eval_join(spark, sf_dir)
+    rows = eval_join(spark, sf_dir, per_class)
     block = F.to_json(F.struct(F.when(F.col("c") >= 0.8, "close").otherwise("hand_over").alias("disposition"), F.col("c").alias("confidence")))
     kind = F.pmod(F.xxhash64("complaint_id"), F.lit(10))
     episodes = rows.select("complaint_id", F.when(kind == 0, F.array(F.lit("no decision"))).otherwise(F.array(F.lit("let me see"), block)).alias("responses"), F.when(kind == 1, "timeout").alias("error"))
@@ -292,3 +295,8 @@ ORACLES = {
     "feature_frame": _FEATURES,
     "onehot_vocab": f"with f as ({_FEATURES}), u as (" + " union all ".join(f"select '{c}' as column_name, {c} as value from f where split = 'train'" for c in INTAKE) + "), g as (select column_name, value, count(*) as n from u group by all), m as (select column_name, case when n >= 5 then value else '(rare)' end as value, sum(n) as n from g group by all) select column_name, value, cast(n as bigint) as n, row_number() over (partition by column_name order by n desc, value) - 1 as code from m",
 }
+_FULL_SAMPLE = _SAMPLE.replace(f"least(n, {PER_CLASS})", f"least(n, {FULL_PER_CLASS})").replace(f"k <= {PER_CLASS}", f"k <= {FULL_PER_CLASS}")
+SAMPLED = {f.__name__: f for f in (stratified_sample, eval_join, base_rate, eval_summary, scores_semi, resume_anti, transcript_replay)}
+QUERIES |= {f"{name}_full": partial(f, per_class=FULL_PER_CLASS) for name, f in SAMPLED.items()} | {"coverage_sample_full": partial(coverage_sample, target=FULL_COVERAGE)}
+ORACLES |= {f"{name}_full": ORACLES[name].replace(_SAMPLE, _FULL_SAMPLE) for name in SAMPLED if name in ORACLES}
+ORACLES["coverage_sample_full"] = ORACLES["coverage_sample"].replace("greatest(0, 500 -", f"greatest(0, {FULL_COVERAGE} -")
