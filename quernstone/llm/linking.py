@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quernstone.llm.shingles import near, verified
+from quernstone.llm.shingles import may_reach, near, verified
 from quernstone.plans.session import checkpointed
 
 #: Classes under one key that one task pairs at once; larger groups are cut into blocks of this size.
@@ -15,7 +15,7 @@ BLOCK = 256
 
 @dataclass(frozen=True)
 class Linked:
-    """``members``: (id, cls, rep) for every text with sequences; ``rep`` is the least id of its class.
+    """``members``: (id, rep, size) for every text with sequences; ``rep`` is the least id of its class, which has ``size`` texts.
     ``links``: (a, b, jaccard) between representatives of different classes, a < b, once each."""
 
     members: DataFrame
@@ -23,55 +23,97 @@ class Linked:
 
 
 def class_members(profile: DataFrame) -> DataFrame:
-    """(id, cls, rep) from (id, cls, n). A class may hold a third of all rows: it is reduced before it is joined back."""
-    some = profile.where("n > 0").select("id", "cls")
-    least = some.groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
+    """``profile`` (id, cls, cls2, n, ...) of the texts with sequences, with the least id of the class (rep) and its size.
+
+    Texts are of one class if both hashes of their sets agree. A class may hold a third of all rows: it is reduced before it is
+    joined back.
+    """
+    some = profile.where("n > 0")
+    least = some.groupBy("cls", "cls2").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
     # only classes with several members go through the join; their rows spread over salts, each salt with a copy of the class
     salts = 16
     many = least.where("size > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = some.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    joined = salted.join(many.select("cls", "salt", "rep"), ["cls", "salt"], "left")
-    return checkpointed(joined.select("id", "cls", F.coalesce("rep", "id").alias("rep")))
+    joined = salted.join(many, ["cls", "cls2", "salt"], "left")
+    return checkpointed(joined.select(*profile.columns, F.coalesce("rep", "id").alias("rep"), F.coalesce("size", F.lit(1)).alias("size")).drop("cls2"))
 
 
-def pairs_by_key(keys: DataFrame, apart: int) -> DataFrame:
-    """Distinct pairs (x, y), x < y, of classes that share a key and whose sketches differ in at most ``apart`` bits (or one has none), from (key, cls, sketch).
+def pairs_by_key(keys: DataFrame, apart: int, sided: bool = False) -> DataFrame:
+    """Distinct pairs (x, y) of classes that share a key and whose sketches differ in at most ``apart`` bits, from (key, cls, sketch).
 
-    Keys of one class are dropped before anything is paired. Large groups are cut into blocks, and every two blocks meet under a
-    key of their own, so that pairing a group is spread over tasks and none of its pairs is left out. Before that the narrow rows
-    of a key are counted in one task (sorted, spilling to disk), which a key shared by very many classes would hold up.
+    x < y; with ``sided``, ``keys`` has a boolean ``side``, and x is of a true row, y of a false one. Keys of one class, or of one
+    side, are dropped before anything is paired. Large groups are cut into blocks, and every two blocks that have to meet do so
+    under a key of their own, so that pairing a group is spread over tasks and none of its pairs is left out. Before that the
+    narrow rows of a key are counted in one task (sorted, spilling to disk).
     """
+    of_key = Window.partitionBy("key")
     # moved by key once; the rest up to the checkpoint happens where the rows then are
-    counted = keys.repartition("key").distinct().withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    shared = counted.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    shared = checkpointed(shared.select("key", "cls", "sketch", "blocks", "own"))
-    meet = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meet = meet.select("key", "cls", "sketch", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    left = meet.where("own = lo").select("key", "lo", "hi", F.col("cls").alias("x0"), F.col("sketch").alias("xs"))
-    right = meet.where("own = hi").select("key", "lo", "hi", F.col("cls").alias("y0"), F.col("sketch").alias("ys"))
+    moved = keys.repartition("key")
+    pick = lambda c, n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int").alias(c)
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    if sided:
+        counted = moved.withColumn("n_true", F.count_if("side").over(of_key)).withColumn("n_false", F.count_if(~F.col("side")).over(of_key))
+        shared = checkpointed(counted.where("n_true > 0 and n_false > 0").distinct().select("key", "cls", "sketch", "side", blocks("n_true").alias("b_true"), blocks("n_false").alias("b_false")))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = shared.where("side").select("key", pick("lo", "b_true"), each("b_false").alias("hi"), F.col("cls").alias("x0"), F.col("sketch").alias("xs"))
+        right = shared.where("not side").select("key", each("b_true").alias("lo"), pick("hi", "b_false"), F.col("cls").alias("y0"), F.col("sketch").alias("ys"))
+        return left.join(right, ["key", "lo", "hi"]).where(near("xs", "ys", apart)).where("x0 <> y0").select(F.col("x0").alias("x"), F.col("y0").alias("y")).distinct()
+    counted = moved.withColumn("n", F.count("*").over(of_key)).where("n > 1").distinct()
+    shared = checkpointed(counted.select("key", "cls", "sketch", blocks("n").alias("blocks")))
+    left, right = _blocks_that_meet(shared, "cls", ["key"], ["sketch"])
     # x from the lower block, y from the higher; within one block each pair once
-    pairs = left.join(right, ["key", "lo", "hi"]).where("lo < hi or x0 < y0").where(near("xs", "ys", apart))
+    pairs = left.join(right, ["key", "lo", "hi"]).where("lo < hi or x0 < y0").where(near("xsketch", "ysketch", apart))
     return pairs.select(F.least("x0", "y0").alias("x"), F.greatest("x0", "y0").alias("y")).where("x <> y").distinct()
 
 
+def _blocks_that_meet(df: DataFrame, item: str, group: list[str], more: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Two sides whose join on (group, lo, hi) brings every two blocks of a group together; a group has ``blocks`` of them.
+
+    Pairs x0, y0 with lo < hi, or within one block with x0 < y0, are the group's pairs, each once.
+    """
+    own = df.withColumn("own", F.pmod(F.xxhash64(item), F.col("blocks")).cast("int"))
+    meet = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meet = meet.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    side = lambda at, name: meet.where(f"own = {at}").select(*group, "lo", "hi", F.col(item).alias(f"{name}0"), *(F.col(c).alias(name + c) for c in more))
+    return side("lo", "x"), side("hi", "y")
+
+
+def verified_links(members: DataFrame, pairs: DataFrame, texts: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs (x, y) of classes that reach ``similarity``, a < b being their representatives.
+
+    First sizes and bits rule out all that cannot (see ``may_reach``), then texts are compared.
+    """
+    reps = members.where("id = rep").select("cls", "rep", "n", "odd")
+    named = lambda c: reps.select(F.col("cls").alias(c), F.col("rep").alias(f"rep_{c}"), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}"))
+    left = pairs.join(named("x"), "x").join(named("y"), "y").where(may_reach("x", "y", similarity))
+    candidates = checkpointed(left.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct())
+    return checkpointed(verified(candidates, texts, key, text, words, similarity))
+
+
 def linked(members: DataFrame, pairs: DataFrame, texts: DataFrame, key: str, text: str, words: int, similarity: float) -> Linked:
     """Verify pairs of classes by the texts of their representatives."""
-    reps = members.where("id = rep").select("cls", "rep")
-    named = pairs.join(reps.select(F.col("cls").alias("x"), F.col("rep").alias("p")), "x").join(reps.select(F.col("cls").alias("y"), F.col("rep").alias("q")), "y")
-    candidates = checkpointed(named.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
-    return Linked(members, checkpointed(verified(candidates, texts, key, text, words, similarity)))
+    return Linked(members.select("id", "rep", "size"), verified_links(members, pairs, texts, key, text, words, similarity))
 
 
 def expanded(found: Linked) -> DataFrame:
-    """All pairs (id_1, id_2), id_1 < id_2, of alike texts: within classes, and between linked ones."""
-    one = found.members.select(F.col("rep").alias("a"), F.col("id").alias("i"))
-    two = found.members.select(F.col("rep").alias("b"), F.col("id").alias("j"))
-    repeated = found.members.groupBy("rep").count().where("count > 1").select(F.col("rep").alias("a"))
-    several = one.join(repeated, "a", "left_semi")
-    within = several.join(several.select("a", F.col("i").alias("j")), "a").where("i < j").select("i", "j")
-    between = found.links.select("a", "b").join(one, "a").join(two, "b").select("i", "j")
-    return within.unionAll(between).select(F.least("i", "j").alias("id_1"), F.greatest("i", "j").alias("id_2"))
+    """All pairs (id_1, id_2), id_1 < id_2, of alike texts: within classes, and between linked ones.
+
+    The members of a class are cut into blocks, which meet under keys of their own, so that no task pairs a whole class.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    several = found.members.where("size > 1").select("id", "rep", blocks.alias("blocks"))
+    left, right = _blocks_that_meet(several, "id", ["rep"], [])
+    within = left.join(right, ["rep", "lo", "hi"]).where("lo < hi or x0 < y0").select(F.col("x0").alias("i"), F.col("y0").alias("j"))
+    # classes of one text need no look-up: the text is its own representative
+    sizes = several.where("id = rep").select("rep", "blocks")
+    held = several.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    between = found.links.select("a", "b")
+    for end, name in (("a", "i"), ("b", "j")):
+        of = sizes.select(F.col("rep").alias(end), F.col("blocks").alias("n"))
+        between = between.join(of, end, "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1)))
+        between = between.join(held.select(F.col("rep").alias(end), F.col("own").alias("block"), F.col("id").alias(name)), [end, "block"], "left")
+        between = between.where(F.col(name).isNotNull() | F.col("n").isNull()).withColumn(name, F.coalesce(name, end)).drop("block", "n")
+    return within.unionAll(between.select("i", "j")).select(F.least("i", "j").alias("id_1"), F.greatest("i", "j").alias("id_2"))
 
 
 def components(links: DataFrame, rounds: int = 30) -> DataFrame:

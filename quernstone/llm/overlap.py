@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quernstone.llm.linking import class_members
-from quernstone.llm.shingles import SIMILARITY, WORDS, Sets, mix, near, sequence_sets, sketch_distance, verified
+from quernstone.llm.linking import BLOCK, class_members, pairs_by_key, verified_links
+from quernstone.llm.shingles import SIMILARITY, WORDS, Sets, mix, sequence_sets, sketch_distance
 from quernstone.plans.session import checkpointed
 
 
@@ -27,48 +27,42 @@ def banding(similarity: float, recall: float = 0.999, most: int = 28) -> tuple[i
     raise ValueError("no banding reaches this recall")
 
 
-def band_keys(sets: Sets, bands: int, rows: int, seed: int = 7) -> np.ndarray:
-    """Bucket of every text in every band, of the texts that have sequences."""
-    some = sets.sizes > 0
-    starts = sets.starts[:-1][some]
-    rng = np.random.default_rng(seed)
-    odd = rng.integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    shift = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
-    out = np.zeros((len(starts), bands), np.uint64)
-    if len(starts):
-        for k in range(bands * rows):
-            least = np.minimum.reduceat((sets.hashes ^ shift[k]) * odd[k], starts)
-            out[:, k // rows] = mix(out[:, k // rows] + least + np.uint64(k))
-    return out
+def band_keys(sets: Sets, bands: int, rows: int, salt: int = 7) -> np.ndarray:
+    """Bucket of every text in every band; each holds ``rows`` samples of the set. Zeros for empty sets."""
+    samples = sets.samples(1 << (bands * rows - 1).bit_length(), salt)
+    out = np.zeros((len(sets.sizes), bands), np.uint64)
+    for row in range(rows):
+        out = mix(out + samples[:, row * bands : (row + 1) * bands] + np.uint64(row + 1))
+    return mix(out ^ np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * (sets.sizes > 0)[:, None].astype(np.uint64)
 
 
-def _scan(df: DataFrame, id_kind: str, words: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """(id, side, cls, n), and (key, cls, side, sketch) of each class and side, once per task."""
+def _scan(df: DataFrame, id_kind: str, words: int, bands: int, rows: int) -> DataFrame:
+    """(id, side, cls, cls2, n, odd, sketch, keys) of every text; the last two only once for each class and side of a task."""
 
-    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = sequence_sets(b.column("text").to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("side"), pa.array(sets.fingerprints().view(np.int64)), pa.array(sets.sizes)], names=["id", "side", "cls", "n"])
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[tuple[int, bool]] = set()
         for b in batches:
             sets = sequence_sets(b.column("text").to_pylist(), words)
-            cls, sketch = sets.fingerprints().view(np.int64), sets.telling_sketches()
+            cls = sets.fingerprints().view(np.int64)
             side = b.column("side").to_numpy(zero_copy_only=False).astype(bool)
-            buckets = band_keys(sets, bands, rows)
-            some = np.flatnonzero(sets.sizes > 0)
-            fresh = np.zeros(len(some), bool)
-            for i, d in enumerate(some.tolist()):
-                if (what := (int(cls[d]), bool(side[d]))) not in met:
+            fresh = np.zeros(len(cls), bool)
+            for i, what in enumerate(zip(cls.tolist(), side.tolist())):
+                if what not in met and sets.sizes[i]:
                     met.add(what)
                     fresh[i] = True
             if len(met) > 1_000_000:
                 met.clear()
-            kept = some[fresh]
-            yield pa.RecordBatch.from_arrays([pa.array(buckets[fresh].ravel().view(np.int64)), pa.array(np.repeat(cls[kept], bands)), pa.array(np.repeat(side[kept], bands)), sketch.take(pa.array(np.repeat(kept, bands)))], names=["key", "cls", "side", "sketch"])
+            new = sets.taken(np.flatnonzero(fresh))
+            offsets = np.concatenate([[0], np.cumsum(fresh * bands)])
+            keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(band_keys(new, bands, rows).ravel().view(np.int64)))
+            sketch = np.zeros(len(cls), np.int64)
+            sketch[fresh] = new.sketches().view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), b.column("side"), pa.array(cls), pa.array(sets.fingerprints(1).view(np.int64)), pa.array(sets.sizes), sets.parities(), pa.array(sketch), keys],
+                names=["id", "side", "cls", "cls2", "n", "odd", "sketch", "keys"],
+            )
 
-    return df.mapInArrow(profile, f"id {id_kind}, side boolean, cls long, n long"), df.mapInArrow(keys, "key long, cls long, side boolean, sketch long")
+    return df.mapInArrow(run, f"id {id_kind}, side boolean, cls long, cls2 long, n long, odd array<long>, sketch long, keys array<long>")
 
 
 def cross_split_pairs(df: DataFrame, key: str, text: str, is_eval: Column, words: int = WORDS, similarity: float = SIMILARITY, tuned_for: float | None = None) -> DataFrame:
@@ -80,22 +74,28 @@ def cross_split_pairs(df: DataFrame, key: str, text: str, is_eval: Column, words
     no other. ``key`` must be unique; null keys are left out. Empty tables give no pairs.
     """
     bands, rows = banding(tuned_for or similarity)
-    kind = dict(df.dtypes)[key]
     base = df.select(F.col(key).alias("id"), F.col(text).alias("text"), is_eval.alias("side")).where("side is not null and id is not null")
-    profile, keys = _scan(base, kind, words, bands, rows)
-    profile = checkpointed(profile)
-    members = class_members(profile.select("id", "cls", "n"))
-    # a bucket matters only if both sides are in it, so either side is cut down to the other's buckets by the join itself
-    evals = keys.where("side").select("key", F.col("cls").alias("x"), F.col("sketch").alias("xs")).repartition("key").distinct()
-    trains = keys.where("not side").select("key", F.col("cls").alias("y"), F.col("sketch").alias("ys")).repartition("key").distinct()
-    met = evals.join(trains, "key").where("x <> y").where(near("xs", "ys", sketch_distance(tuned_for or similarity))).select("x", "y").distinct()
-    reps = members.where("id = rep").select("cls", "rep")
-    named = met.join(reps.select(F.col("cls").alias("x"), F.col("rep").alias("p")), "x").join(reps.select(F.col("cls").alias("y"), F.col("rep").alias("q")), "y")
-    ordered = checkpointed(named.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
-    alike = verified(ordered, base, "id", "text", words, similarity)
+    # every text is cut into words and hashed once; all that follows reads what came of it
+    scanned = checkpointed(_scan(base, dict(df.dtypes)[key], words, bands, rows))
+    members = class_members(scanned.select("id", "side", "cls", "cls2", "n", "odd"))
+    keys = scanned.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "cls", "side", "sketch")
+    alike = verified_links(members, pairs_by_key(keys, sketch_distance(tuned_for or similarity), sided=True), base, "id", text="text", words=words, similarity=similarity)
     both = alike.unionAll(alike.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard"))
-    sided = members.join(profile.select("id", "side"), "id").select("id", "rep", "side")
-    sided = checkpointed(sided)
-    evals, trains = (sided.where(c).select(F.col("id").alias(i), F.col("rep").alias(r)) for c, i, r in (("side", "eval_id", "a"), ("not side", "train_id", "b")))
-    equal = evals.join(trains, F.col("a") == F.col("b")).select("eval_id", "train_id", F.lit(1.0).alias("jaccard"))
-    return both.join(evals, "a").join(trains, "b").select("eval_id", "train_id", "jaccard").unionAll(equal)
+    same = members.where("id = rep").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("jaccard"), "size").where("size > 1").drop("size")
+    return _sided(members, both.unionAll(same))
+
+
+def _sided(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs of an evaluation and a training record from ``links`` (a: evaluation's class, b: training's class, jaccard).
+
+    The members of a class and side are cut into blocks, and a link is repeated for every two blocks that have to meet.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    several = members.where("id = rep and size > 1").select("rep", blocks.alias("n"))
+    held = members.select("rep", "side", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), "id")
+    out = links
+    for end, side, name in (("a", "side", "eval_id"), ("b", "not side", "train_id")):
+        # a class that isn't listed has one text, so one block; one without texts on this side finds none
+        out = out.join(several.select(F.col("rep").alias(end), "n"), end, "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1))).drop("n")
+        out = out.join(held.where(side).select(F.col("rep").alias(end), "block", F.col("id").alias(name)), [end, "block"]).drop("block")
+    return out.select("eval_id", "train_id", "jaccard")

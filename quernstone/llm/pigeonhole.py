@@ -1,106 +1,146 @@
 """Near-duplicate records by the generalised pigeonhole principle.
 
-A text is the bit vector of the word sequences it holds. Bits are assigned to partitions, correlated ones to the same: sequences
-are told apart by their middle word, whose hash buckets are grouped by how often they occur in the same texts. Two texts at
-Hamming distance H differ in at most t_i bits of some partition i whenever the sum of (t_i + 1) over all partitions exceeds
-H. Thresholds are -1 (partition unused), 0 or 1, allocated by dynamic programming so that the estimated number of
-candidates is least; the estimates are second moments of the partitions' keys, sketched over all texts. A partition with
-threshold 0 is probed by the hash of its bits, one with threshold 1 also by the hashes with one bit left out. Candidates are
-verified by 64-bit sketches first (but those of short texts), then exactly.
+A text is the bit vector of the word sequences it holds. Bits are assigned to partitions: sequences are told apart by their middle
+word, whose hash buckets are grouped by how often they occur in the same texts, and each group is split by the sequence's own hash.
+Two like texts differ in so few bits that some partitions are bound to be untouched, or likely to be: how many a pair of exactly
+the similarity asked for is expected to have untouched is worked out for every partition. Thresholds are unequal: a partition is
+unused (-1), or must agree in all its bits (0) of which there are at least so many. Dynamic programming allocates them: least
+estimated candidates among the allocations whose expected untouched partitions suffice for ``RECALL``. The estimates are second
+moments of the partitions' keys, sketched over all texts. Candidates that share a key are verified: by 64-bit sketches, then by a
+bound that never errs, then exactly.
+
+Partitions whose bits may differ in one (threshold 1) would cost a key for every bit; measured, they never pay.
 
 Since similar texts have sizes within a factor of the similarity, sizes are cut into levels of a factor of two, each with its own
 number of partitions; a text is entered at its own level, and at the next lower one if a similar text could lie there.
+
+Texts too short for that have one bit a partition, and the principle in its plain form makes them certain: of the n sequences of a
+text at least ceil(similarity * n) are shared, so one of any n - ceil(similarity * n) + 1 is; each text enters its rarest. The same
+is done for all texts if certainty is asked for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quernstone.llm.linking import Linked, class_members, linked, pairs_by_key
-from quernstone.llm.shingles import SIMILARITY, WORDS, Sets, mix, sequence_sets, sketch_distance
+from quernstone.llm.shingles import ANCHOR_BITS, SIMILARITY, WORDS, Sets, mix, sequence_sets, sketch_distance, word_hashes
 from quernstone.plans.session import checkpointed
 
+#: Chance with which a pair of exactly the similarity asked for, its edits spread evenly, shares a key. More alike ones have more.
+RECALL = 0.9995
 #: Hash buckets of middle words, and groups of correlated buckets.
-BUCKETS, GROUPS = 256, 32
-#: Bits of a text in one partition, on average at the middle of a level.
-BITS = 3.5
-#: Cells of the sketch of one partition's keys; its second moment is then known to some 20 %.
-CELLS = 64
-#: A text does not use a partition in which it has fewer bits: so few are shared by chance. Texts of one limit that agree there
-#: have equally few, so both leave it out. Where one bit may differ (threshold 1), a text one bit short of the limit still enters
-#: all its bits, which a text at the limit probes with one left out.
-FEW = 4
-#: Short texts are held to fewer: one for every so many sequences.
-SHARE = 35
+BUCKETS, GROUPS = 256, 8
+#: Least bits that a threshold may ask for go from 1 to this.
+MOST = 6
+#: Cells of the sketch of one partition's keys; its second moment is then known to some 25 %.
+CELLS = 32
 #: What emitting one key costs, in candidates.
-EMIT = 1.0
+EMIT = 0.2
+#: Cells in which sequences of short texts are counted, to tell the rare ones.
+RARITY = 1 << 16
+#: Level of the texts that are made certain.
+CERTAIN = -1
+_NEED = -log(1 - RECALL)
+_STEPS = 200
 
 
 @dataclass(frozen=True)
 class Scheme:
-    """Partitions and thresholds of one level. ``group_of`` bucket -> group; partition = group * split + part of its hash."""
+    """Partitions of one level and the least bits in which each must agree; 0: unused. partition = group * split + part of the hash."""
 
     level: int
     groups: int
     split: int
-    thresholds: np.ndarray
+    least: np.ndarray
 
     @property
     def partitions(self) -> int:
         return self.groups * self.split
 
 
+@dataclass(frozen=True)
+class Plan:
+    """How keys are made: below ``first`` by rarest sequences (``rarity``: how often each cell was seen), above by ``schemes``."""
+
+    similarity: float
+    tuned: float
+    first: int
+    group_of: np.ndarray
+    schemes: dict[int, Scheme]
+    rarity: np.ndarray
+
+
 def level_of(sizes: np.ndarray) -> np.ndarray:
     """Level k holds sizes above 2**k / 1.2 up to twice that; -1 for empty sets."""
     return np.where(sizes > 0, np.floor(np.log2(np.maximum(sizes, 1) * 1.2)), -1).astype(np.int64)
 
 
-def shape(level: int) -> tuple[int, int]:
-    """Groups and split of a level."""
-    partitions = max(2, round(2.0**level / 1.2 * np.sqrt(2) / BITS))
-    groups = min(GROUPS, partitions)
-    return groups, max(1, round(partitions / groups))
+def untouched(partitions: int, size: float, similarity: float, least: int) -> float:
+    """Partitions, expected, in which two texts of this size and similarity agree in all bits, of which there are at least ``least``."""
+    differ, shared = (2 * size * x / (1 + similarity) / partitions for x in (1 - similarity, similarity))
+    term, fewer = exp(-shared), 0.0
+    for k in range(least):
+        fewer += term
+        term *= shared / (k + 1)
+    return partitions * exp(-differ) * (1 - fewer)
+
 
+@lru_cache(maxsize=256)
+def shape(level: int, similarity: float) -> tuple[int, int] | None:
+    """Groups and split of a level: the fewest partitions that leave room for ``RECALL`` at both its ends. None if there is no such number."""
+    low, high = 2.0**level / 1.2, 2.0 ** (level + 1) / 1.2
+    for split in range(1, int(high / GROUPS) + 2):
+        m = GROUPS * split
+        if untouched(m, high, similarity, 2) >= 1.3 * _NEED and untouched(m, low, similarity, 1) >= 1.3 * _NEED:
+            return GROUPS, split
+    return None
 
-def keys_of(sets: Sets, chosen: np.ndarray, scheme: Scheme, group_of: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the ``chosen`` texts: (text, partition, threshold for which the key is needed, key)."""
+
+def first_level(similarity: float) -> int:
+    """The least level from which on every level has a shape."""
+    return max([k for k in range(24) if shape(k, similarity) is None], default=-1) + 1
+
+
+def projected(sets: Sets, chosen: np.ndarray, scheme: Scheme, group_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the ``chosen`` texts (their numbers): how many bits each has in each partition, and the hash of these bits."""
+    m, docs = scheme.partitions, np.flatnonzero(chosen)
     take = chosen[sets.doc]
-    h, doc, anchor = sets.hashes[take], sets.doc[take], sets.anchors[take]
-    spread = mix(anchor)
-    group = group_of[(spread & np.uint64(BUCKETS - 1)).astype(np.int64)] % scheme.groups
-    part = group * scheme.split + ((spread >> np.uint64(32)) % np.uint64(scheme.split)).astype(np.int64)
-    used = thresholds[part] >= 0
-    h, doc, part = h[used], doc[used], part[used]
-    if not len(h):
-        none = np.empty(0, np.int64)
-        return none, none, none, np.empty(0, np.uint64)
-    cell = doc * scheme.partitions + part
-    order = np.argsort(cell, kind="stable")
-    cell, value = cell[order], mix(h[order] + np.uint64(0xD1B54A32D192ED03))
-    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-    total = np.add.reduceat(value, first)
-    count = np.diff(np.concatenate([first, [len(cell)]]))
-    at = cell[first]
-    limit = np.minimum(FEW, np.maximum(1, sets.sizes[at // scheme.partitions] // SHARE))
-    short = (count == limit - 1) & (thresholds[at % scheme.partitions] >= 1)
-    enough = (count >= limit) | short
-    cell, value = cell[np.repeat(enough, count)], value[np.repeat(enough, count)]
-    at, total, count, short = at[enough], total[enough], count[enough], short[enough]
-    wide = thresholds[at % scheme.partitions] >= 1
-    # one bit left out; the last bit is never left out, nothing would be left to tell texts apart
-    member = np.repeat(wide & (count > 1) & ~short, count)
-    less = np.repeat(total, count)[member] - value[member]
-    all_at = np.concatenate([at, cell[member]])
-    all_sum = np.concatenate([total, less])
-    need = np.concatenate([short.astype(np.int64), np.ones(int(member.sum()), np.int64)])
-    doc_out, part_out = all_at // scheme.partitions, all_at % scheme.partitions
-    salt = mix((part_out + (scheme.level << 32)).astype(np.uint64))
-    return doc_out, part_out, need, mix(all_sum ^ salt)
+    h = sets.hashes[take]
+    group = group_of[(mix(sets.anchors[take]) & np.uint64(BUCKETS - 1)).astype(np.int64)] % scheme.groups
+    part = group * scheme.split + ((h >> np.uint64(24)) % np.uint64(scheme.split)).astype(np.int64)
+    cell = (np.cumsum(chosen) - 1)[sets.doc[take]] * m + part
+    n = len(docs) * m
+    value = mix(h + np.uint64(0xD1B54A32D192ED03))
+    count = np.bincount(cell, minlength=n)
+    # sums of halves stay exact as doubles
+    low, high = (np.bincount(cell, weights=(v & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=n).astype(np.uint64) for v in (value, value >> np.uint64(32)))
+    salt = np.tile(mix((np.arange(m) + (scheme.level << 32)).astype(np.uint64)), len(docs))
+    keys = mix(mix(low + salt) ^ (high * np.uint64(0x9E3779B97F4A7C15)) ^ count.astype(np.uint64))
+    return docs, count.reshape(-1, m), keys.reshape(-1, m)
+
+
+def rarest(sets: Sets, chosen: np.ndarray, similarity: float, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) of the n - ceil(similarity * n) + 1 rarest sequences of each chosen text; ties go by hash, alike in all texts."""
+    take = chosen[sets.doc]
+    h, doc = sets.hashes[take], sets.doc[take]
+    order = np.lexsort((h, rarity[_rarity_cell(h)], doc))
+    h, doc = h[order], doc[order]
+    sizes = np.where(chosen, sets.sizes, 0)
+    rank = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    keep = rank < (sizes - np.ceil(similarity * sizes - 1e-9) + 1)[doc]
+    return doc[keep], mix(h[keep] ^ np.uint64(0xA0761D6478BD642F))
+
+
+def _rarity_cell(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(20) & np.uint64(RARITY - 1)).astype(np.int64)
 
 
 def group_buckets(together: np.ndarray) -> np.ndarray:
@@ -123,124 +163,192 @@ def group_buckets(together: np.ndarray) -> np.ndarray:
     return group_of
 
 
-def allocate(costs: np.ndarray, budget: int) -> np.ndarray:
-    """Thresholds t with the least total ``costs[i, t + 1]`` among those whose sum of (t + 1) reaches ``budget``."""
-    n = len(costs)
-    best = np.full(budget + 1, np.inf)
+def allocate(costs: np.ndarray, gains: np.ndarray, need: float) -> np.ndarray:
+    """For every partition an option (column), least in total cost among those whose gains sum to ``need``; column 0 is free and gains nothing.
+
+    Gains are rounded down to ``need / _STEPS``. Where even the greatest gains don't reach it, these are taken.
+    """
+    m, options = costs.shape
+    units = np.minimum(np.floor(gains * (_STEPS / need) + 1e-9), _STEPS).astype(np.int64)
+    if units.max(axis=1).sum() < _STEPS:
+        return gains.argmax(axis=1)
+    best = np.full(_STEPS + 1, np.inf)
     best[0] = 0.0
-    choice = np.zeros((n, budget + 1), np.int64)
-    for i in range(n):
-        options = np.full((3, budget + 1), np.inf)
-        for units in range(3):
-            reach = np.minimum(np.arange(budget + 1) + units, budget)
-            np.minimum.at(options[units], reach, best + costs[i, units])
-        choice[i] = np.argmin(options, axis=0)
-        best = options.min(axis=0)
-    out, left = np.zeros(n, np.int64), budget
-    # walk back: the state before a step that was capped at the budget is the cheapest that leads there
-    states = [np.full(budget + 1, np.inf)]
-    states[0][0] = 0.0
-    for i in range(n):
-        nxt = np.full(budget + 1, np.inf)
-        for units in range(3):
-            np.minimum.at(nxt, np.minimum(np.arange(budget + 1) + units, budget), states[-1] + costs[i, units])
-        states.append(nxt)
-    for i in range(n - 1, -1, -1):
-        found = None
-        for units in range(3):
-            for before in ([left - units] if left < budget else range(max(0, budget - units), budget + 1)):
-                if before >= 0 and np.isclose(states[i][before] + costs[i, units], states[i + 1][left]):
-                    found = (units, before)
-        out[i], left = found[0] - 1, found[1]
+    came = np.zeros((m, _STEPS + 1, 2), np.int64)
+    for i in range(m):
+        after = np.full(_STEPS + 1, np.inf)
+        for o in range(options):
+            u, total = units[i, o], best + costs[i, o]
+            reached, before = np.full(_STEPS + 1, np.inf), np.arange(_STEPS + 1) - u
+            reached[u:] = total[: _STEPS + 1 - u]
+            before[-1] = _STEPS - u + int(np.argmin(total[_STEPS - u :]))
+            reached[-1] = total[before[-1]]
+            better = reached < after
+            after[better] = reached[better]
+            came[i, better, 0], came[i, better, 1] = o, before[better]
+        best = after
+    out, at = np.zeros(m, np.int64), _STEPS
+    for i in range(m - 1, -1, -1):
+        out[i], at = came[i, at]
     return out
 
 
-def _levels(sets: Sets, similarity: float) -> list[tuple[int, np.ndarray]]:
-    """Levels and the texts entered there."""
-    own = level_of(sets.sizes)
-    low = np.minimum(own, level_of(np.ceil(sets.sizes * similarity - 1e-9).astype(np.int64)))
-    return [(int(k), (low <= k) & (k <= own)) for k in np.unique(np.concatenate([own, low])) if k >= 0]
+def _levels(sizes: np.ndarray, tuned: float, first: int) -> list[tuple[int, np.ndarray]]:
+    """Levels from ``first`` on, and the texts entered there."""
+    own = level_of(sizes)
+    low = np.minimum(own, level_of(np.ceil(sizes * tuned - 1e-9).astype(np.int64)))
+    return [(int(k), (low <= k) & (k <= own)) for k in np.unique(np.concatenate([own, low])) if k >= first]
 
 
-def _profiled(df: DataFrame, key: str, text: str, words: int) -> tuple[DataFrame, np.ndarray]:
-    """Each text's size and class (a hash of its set), and how often buckets occur in the same texts."""
-    kind = dict(df.dtypes)[key]
+def _short(sizes: np.ndarray, similarity: float, first: int) -> np.ndarray:
+    """The texts that are short themselves or could be like a short one."""
+    return (sizes > 0) & (level_of(np.ceil(sizes * similarity - 1e-9).astype(np.int64)) < first)
+
+
+def _correlations(df: DataFrame, text: str) -> np.ndarray:
+    """How often the buckets of words occur in the same texts, over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        id_type = None
         together = np.zeros((BUCKETS, BUCKETS), np.int64)
         for batch in batches:
-            id_type = batch.column("id").type
-            sets = sequence_sets(batch.column("text").to_pylist(), words)
-            bucket = (mix(sets.anchors) & np.uint64(BUCKETS - 1)).astype(np.int64)
-            seen = np.zeros((batch.num_rows, BUCKETS), np.float32)
-            seen[sets.doc, bucket] = 1
-            together += (seen.T @ seen).astype(np.int64)
-            nothing = pa.nulls(batch.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets.fingerprints().view(np.int64)), pa.array(sets.sizes), nothing], names=["id", "cls", "n", "cell"])
-        if id_type is None:
-            return
+            for i in range(0, batch.num_rows, 1000):
+                w, counts = word_hashes(batch.column("text")[i : i + 1000].to_pylist())
+                bucket = (mix(w >> np.uint64(64 - ANCHOR_BITS)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+                seen = np.zeros((len(counts), BUCKETS), np.float32)
+                seen[np.repeat(np.arange(len(counts)), counts), bucket] = 1
+                together += (seen.T @ seen).astype(np.int64)
         cells = np.flatnonzero(np.triu(together))
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(cells), id_type), pa.nulls(len(cells), pa.int64()), pa.array(together.ravel()[cells]), pa.array(cells, pa.int32())], names=["id", "cls", "n", "cell"])
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(together.ravel()[cells])], names=["cell", "n"])
 
-    base = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    both = checkpointed(base.mapInArrow(run, f"id {kind}, cls long, n long, cell int"))
     together = np.zeros((BUCKETS, BUCKETS), np.int64)
     # at most BUCKETS ** 2 / 2 rows, whatever the input
-    for r in both.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for r in df.select(F.col(text).alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         together[r["cell"] // BUCKETS, r["cell"] % BUCKETS] = r["n"]
-    together = np.maximum(together, together.T)
-    return both.where("cell is null").select("id", "cls", "n"), together
-
-
-def _schemes(df: DataFrame, text: str, words: int, similarity: float, group_of: np.ndarray) -> dict[int, Scheme]:
-    """Thresholds of every level, from sketches of all keys: sum of signs per cell, so that squares sum to the second moment."""
+    return np.maximum(together, together.T)
+
+
+_STATS = ["level", "kind", "cell", "x", "y"]
+
+
+class _Tally:
+    """Sums of one task: second moments of keys (kind 0), gains (1), bits in each partition (2), sequences of short texts (3)."""
+
+    def __init__(self, tuned: float, first: int, group_of: np.ndarray) -> None:
+        self.tuned, self.first, self.group_of = tuned, first, group_of
+        self.sums: dict[tuple[int, int], np.ndarray] = {}
+
+    def _add(self, level: int, kind: int, cell: np.ndarray, x: np.ndarray | None, y: np.ndarray | None, size: int) -> None:
+        held = self.sums.setdefault((level, kind), np.zeros((2, size)))
+        held[0] += np.bincount(cell, weights=x, minlength=size)
+        held[1] += np.bincount(cell, weights=y, minlength=size)
+
+    def add(self, sets: Sets, similarity: float) -> None:
+        short = _short(sets.sizes, similarity, self.first)[sets.doc]
+        if short.any():
+            self._add(CERTAIN, 3, _rarity_cell(sets.hashes[short]), None, None, RARITY)
+        q = 2 * self.tuned / (1 + self.tuned)
+        for level, chosen in _levels(sets.sizes, self.tuned, self.first):
+            groups, split = shape(level, self.tuned)
+            scheme = Scheme(level, groups, split, np.empty(0))
+            docs, count, keys = projected(sets, chosen, scheme, self.group_of)
+            m = scheme.partitions
+            row, part = np.nonzero(count)
+            c, k = count[row, part], keys[row, part]
+            place = part * MOST + np.minimum(c, MOST) - 1
+            self._add(level, 0, place * CELLS + (k % np.uint64(CELLS)).astype(np.int64), np.where((k >> np.uint64(20)) & np.uint64(1), 1.0, -1.0), None, m * MOST * CELLS)
+            half = (sets.sizes[docs] >= 2.0 ** (level + 0.5) / 1.2).astype(np.int64)
+            self._add(level, 1, half[row] * m * MOST + place, q**c, None, 2 * m * MOST)
+            each = np.bincount(half, minlength=2).astype(float)
+            self._add(level, 2, half[row] * m + part, c.astype(float), None, 2 * m + 2)
+            self.sums[level, 2][0, 2 * m :] += each
+
+    def batch(self, names: list[str], id_type: pa.DataType) -> pa.RecordBatch:
+        parts = [(level, kind, at := np.flatnonzero(held[1] + np.abs(held[0])), held[:, at]) for (level, kind), held in self.sums.items()]
+        n = sum(len(p[2]) for p in parts)
+        join = lambda values, kind: pa.array(np.concatenate(values) if values else np.empty(0), kind)
+        return pa.RecordBatch.from_arrays(
+            [pa.nulls(n, id_type), *(pa.nulls(n, pa.int64()) for _ in range(3)), pa.nulls(n, pa.list_(pa.int64())),
+             join([np.full(len(p[2]), p[0]) for p in parts], pa.int32()), join([np.full(len(p[2]), p[1]) for p in parts], pa.int32()), join([p[2] for p in parts], pa.int32()), join([p[3][0] for p in parts], pa.float64()), join([p[3][1] for p in parts], pa.float64())],
+            names=names,
+        )
+
+
+def _profiled(df: DataFrame, key: str, text: str, words: int, similarity: float, tuned: float, first: int, group_of: np.ndarray) -> tuple[DataFrame, Plan]:
+    """Each text's class (two hashes of its set), size and parities; and the plan, from sums over all texts."""
+    kind = dict(df.dtypes)[key]
+    names = ["id", "cls", "cls2", "n", "odd", *_STATS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
+        tally, id_type = _Tally(tuned, first, group_of), None
         for batch in batches:
+            id_type, n = batch.column("id").type, batch.num_rows
             sets = sequence_sets(batch.column("text").to_pylist(), words)
-            for level, chosen in _levels(sets, similarity):
-                groups, split = shape(level)
-                scheme = Scheme(level, groups, split, np.empty(0))
-                m = scheme.partitions
-                _, part, need, k = keys_of(sets, chosen, scheme, group_of, np.ones(m, np.int64))
-                for t in (0, 1):
-                    use = need <= t
-                    cell = part[use] * CELLS + (k[use] % np.uint64(CELLS)).astype(np.int64)
-                    sign = np.where((k[use] >> np.uint64(20)) & np.uint64(1), 1.0, -1.0)
-                    held = sums.setdefault((level, t), np.zeros((2, m * CELLS)))
-                    held[0] += np.bincount(cell, weights=sign, minlength=m * CELLS)
-                    held[1] += np.bincount(cell, minlength=m * CELLS)
-        for (level, t), held in sums.items():
-            cell = np.flatnonzero(held[1])
-            n = len(cell)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, level), pa.int32()), pa.array(np.full(n, t), pa.int32()), pa.array(cell, pa.int32()), pa.array(held[0][cell]), pa.array(held[1][cell])], names=["level", "t", "cell", "s", "n"])
-
-    rows = df.select(F.col(text).alias("text")).mapInArrow(run, "level int, t int, cell int, s double, n double")
-    rows = rows.groupBy("level", "t", "cell").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    # per partition: a few rows for each partition of each level, a number that grows with the longest text only
-    rows = rows.groupBy("level", "t", F.expr(f"cell div {CELLS}").alias("part")).agg(F.sum(F.col("s") * F.col("s")).alias("f2"), F.sum("n").alias("n")).collect()
-    by_level: dict[int, np.ndarray] = {}
-    for r in rows:
-        groups, split = shape(r["level"])
-        costs = by_level.setdefault(r["level"], np.zeros((groups * split, 3)))
-        costs[r["part"], r["t"] + 1] = max(0.0, r["f2"] - r["n"]) / 2 + EMIT * r["n"]
-    out = {}
-    for level, costs in by_level.items():
-        groups, split = shape(level)
-        out[level] = Scheme(level, groups, split, allocate(costs, len(costs)))
-    return out
-
+            tally.add(sets, similarity)
+            nothing = [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets.fingerprints().view(np.int64)), pa.array(sets.fingerprints(1).view(np.int64)), pa.array(sets.sizes), sets.parities(), *nothing], names=names)
+        if id_type is not None:
+            yield tally.batch(names, id_type)
 
-def _keys(df: DataFrame, text: str, words: int, similarity: float, group_of: np.ndarray, schemes: dict[int, Scheme]) -> DataFrame:
+    base = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    both = checkpointed(base.mapInArrow(run, f"id {kind}, cls long, cls2 long, n long, odd array<long>, level int, kind int, cell int, x double, y double"))
+    sums = both.where("level is not null").groupBy("level", "kind", "cell").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    # second moments are squared sums over the cells of a partition; what reaches the driver are some numbers for each partition of
+    # each level, which grow with the longest text only, and at most RARITY counts
+    square = F.col("kind") == 0
+    at = F.when(square, F.expr(f"cell div {CELLS}")).otherwise(F.col("cell").cast("long"))
+    rows = sums.groupBy("level", "kind", at.alias("at")).agg(F.sum(F.when(square, F.col("x") * F.col("x")).otherwise(F.col("x"))).alias("x"), F.sum("y").alias("y")).collect()
+    return both.where("level is null").select("id", "cls", "cls2", "n", "odd"), _planned(rows, similarity, tuned, first, group_of)
+
+
+def _planned(rows: list, similarity: float, tuned: float, first: int, group_of: np.ndarray) -> Plan:
+    rarity, by_level = np.zeros(RARITY), {}
+    for level, kind, at, x, y in rows:
+        if kind == 3:
+            rarity[at] = y
+            continue
+        groups, split = shape(level, tuned)
+        m = groups * split
+        tables = by_level.setdefault(level, (np.zeros((m * MOST, 2)), np.zeros(2 * m * MOST), np.zeros(2 * m + 2)))
+        if kind == 0:
+            tables[0][at] = (x, y)
+        else:
+            tables[kind][at] = x
+    q, schemes = 2 * tuned / (1 + tuned), {}
+    for level, (moments, kept, bits) in by_level.items():
+        groups, split = shape(level, tuned)
+        m = groups * split
+        # at least so many bits: sums from the most downwards
+        up = lambda t: np.cumsum(t[..., ::-1], axis=-1)[..., ::-1]
+        f2, n = up(moments[:, 0].reshape(m, MOST)), up(moments[:, 1].reshape(m, MOST))
+        halves = np.maximum(bits[2 * m :], 1e-9)
+        alike = up(kept.reshape(2, m, MOST)) / halves[:, None, None] * np.exp(-(1 - q) * bits[: 2 * m].reshape(2, m) / halves[:, None])[..., None]
+        gain = np.where(bits[2 * m :, None, None] > 0, alike, np.inf).min(axis=0)
+        none = np.zeros((m, 1))
+        chosen = allocate(np.hstack([none, np.maximum(0, f2 - n) / 2 + EMIT * n]), np.hstack([none, gain]), _NEED)
+        schemes[level] = Scheme(level, groups, split, chosen)
+    return Plan(similarity, tuned, first, group_of, schemes, rarity)
+
+
+def keys_of(sets: Sets, chosen: np.ndarray, plan: Plan) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, key) of the chosen texts, level by level."""
+    short = chosen & _short(sets.sizes, plan.similarity, plan.first)
+    if short.any():
+        yield rarest(sets, short, plan.similarity, plan.rarity)
+    for level, here in _levels(sets.sizes, plan.tuned, plan.first):
+        scheme = plan.schemes[level]
+        docs, count, keys = projected(sets, here & chosen, scheme, plan.group_of)
+        row, part = np.nonzero((count >= scheme.least) & (scheme.least > 0))
+        yield docs[row], keys[row, part]
+
+
+def _keys(df: DataFrame, text: str, words: int, plan: Plan) -> DataFrame:
     """(key, cls, sketch) of every class, once per task: a class met again in the same task gives nothing new."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
             sets = sequence_sets(batch.column("text").to_pylist(), words)
-            cls, sketch = sets.fingerprints().view(np.int64), sets.telling_sketches()
+            cls, sketch = sets.fingerprints().view(np.int64), sets.sketches().view(np.int64)
             fresh = np.zeros(len(cls), bool)
             for i, c in enumerate(cls.tolist()):
                 if c not in met:
@@ -248,29 +356,26 @@ def _keys(df: DataFrame, text: str, words: int, similarity: float, group_of: np.
                     fresh[i] = True
             if len(met) > 1_000_000:
                 met.clear()
-            for level, chosen in _levels(sets, similarity):
-                scheme = schemes[level]
-                doc, _, _, k = keys_of(sets, chosen & fresh, scheme, group_of, scheme.thresholds)
-                if len(k):
-                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(cls[doc]), sketch.take(pa.array(doc))], names=["key", "cls", "sketch"])
+            for doc, k in keys_of(sets, fresh, plan):
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(cls[doc]), pa.array(sketch[doc])], names=["key", "cls", "sketch"])
 
     return df.select(F.col(text).alias("text")).mapInArrow(run, "key long, cls long, sketch long")
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, words: int = WORDS, similarity: float = SIMILARITY, tuned_for: float | None = None) -> Linked:
-    """All pairs of texts whose sets of ``words`` consecutive words have at least ``similarity`` (Jaccard), as classes and links.
+def near_duplicates(df: DataFrame, key: str, text: str, words: int = WORDS, similarity: float = SIMILARITY, tuned_for: float | None = None, certain: bool = False) -> Linked:
+    """Pairs of texts whose sets of ``words`` consecutive words have at least ``similarity`` (Jaccard), as classes and links.
 
-    Sketches are compared so that of pairs as alike as ``tuned_for`` (``similarity`` if not given) one in some thousands is lost;
-    short texts, whose sketches tell too little, go to the exact check unseen.
+    Every pair found is one. A pair of just the similarity ``tuned_for`` (``similarity`` if not given), edited all over, is found
+    with a chance of ``RECALL``, at any length; short texts, and all if ``certain``, share a key for certain, at the cost of more
+    keys and far more candidates. Sketches then lose one pair in 300,000 of that similarity.
 
     Texts with equal sets form a class; see Linked. Null texts and texts of fewer than ``words`` words have no sequences and are
     like no other, equal ones too. ``key`` must be unique and not null; rows with a null key are left out. Further columns play no
     part. Whole texts count, of any length. An empty table gives empty results.
     """
-    rows = df.where(F.col(key).isNotNull())
-    profile, together = _profiled(rows, key, text, words)
-    group_of = group_buckets(together)
-    schemes = _schemes(rows, text, words, similarity, group_of)
+    rows, tuned = df.where(F.col(key).isNotNull()), tuned_for or similarity
+    first = 63 if certain else first_level(tuned)
+    group_of = group_buckets(_correlations(rows, text))
+    profile, plan = _profiled(rows, key, text, words, similarity, tuned, first, group_of)
     members = class_members(profile)
-    keys = _keys(rows, text, words, similarity, group_of, schemes)
-    return linked(members, pairs_by_key(keys, sketch_distance(tuned_for or similarity)), rows, key, text, words, similarity)
+    return linked(members, pairs_by_key(_keys(rows, text, words, plan), sketch_distance(tuned)), rows, key, text, words, similarity)

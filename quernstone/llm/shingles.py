@@ -15,11 +15,11 @@ from quernstone.operators.delivery import BLOCK_BYTES, BLOCK_ROWS
 WORDS, SIMILARITY = 5, 0.8
 #: Bits that tell sequences apart, among them those of the middle word, and texts and characters that are worked on at once.
 HASH_BITS, ANCHOR_BITS = 51, 16
-_DOCS, _CHARS = 1 << (64 - HASH_BITS), 8 << 20
+_DOCS, _CHARS = 1 << (64 - HASH_BITS), 1 << 20
+#: Texts that are sampled at once: as many as the processor's caches hold.
+_CHUNK = 1024
 #: Bytes of a filter of identifiers that may be broadcast.
 FILTER_BYTES = 16 << 20
-#: Sequences from which on nearly all 64 ranges of a sketch are filled, so that its bits are as good as independent.
-SKETCHED = 192
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that scatters them."""
@@ -43,6 +43,13 @@ class Sets:
     def starts(self) -> np.ndarray:
         return np.concatenate([[0], np.cumsum(self.sizes)])
 
+    def taken(self, docs: np.ndarray) -> Sets:
+        """The sets of these texts, in this order, repeated where they are."""
+        sizes = self.sizes[docs]
+        ends = np.cumsum(sizes)
+        at = np.arange(int(sizes.sum())) + np.repeat(self.starts[:-1][docs] - (ends - sizes), sizes)
+        return Sets(self.hashes[at], self.raw[at], self.anchors[at], np.repeat(np.arange(len(docs)), sizes), sizes)
+
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Sum of ``values`` over each text's sequences."""
         out = np.zeros(len(self.sizes), values.dtype)
@@ -51,52 +58,89 @@ class Sets:
             out[some] = np.add.reduceat(values, self.starts[:-1][some])
         return out
 
-    def fingerprints(self) -> np.ndarray:
-        """One number per text that equal sets share; order and repeats of sequences play no part."""
-        return mix(self.sums(mix(self.hashes ^ np.uint64(0x5851F42D4C957F2D))) + self.sizes.astype(np.uint64))
+    def fingerprints(self, salt: int = 0x5851F42D4C957F2D) -> np.ndarray:
+        """One number per text that equal sets share; order and repeats of sequences play no part. Another ``salt``, another number."""
+        return mix(self.sums(mix(self.hashes ^ np.uint64(salt))) + self.sizes.astype(np.uint64))
 
-    def sketches(self) -> np.ndarray:
-        """64 bits per text, each a bit of the least sequence in one of 64 ranges of hashes; see ``sketch_distance``.
+    def samples(self, cells: int, salt: int = 1) -> np.ndarray:
+        """``cells`` (a power of two) numbers per text; each is equal in two texts with a chance of their similarity, at any size.
 
-        An empty range takes the bit of the next range that isn't empty.
+        Round r throws every sequence into one cell by a hash of its own; a cell keeps the least sequence of the first round that
+        reaches it. So it holds the least of all (round, hash) over the set, a minwise sample, for about as much work as the set is
+        large. Cells still empty after as many rounds as cells are filled one by one. Zeros for empty sets.
         """
-        out = np.zeros(len(self.sizes), np.uint64)
-        if not len(self.raw):
-            return out
-        cell = self.doc * 64 + (self.raw >> np.uint64(HASH_BITS - 6)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        # two rounds of the ranges, filled from behind, so that the last ranges find the first ones
-        docs = np.flatnonzero(self.sizes)
-        place = np.full((len(docs), 128), -1, np.int64)
-        row = np.searchsorted(docs, self.doc[first])
-        place[row, cell[first] % 64] = place[row, cell[first] % 64 + 64] = first
-        column = np.where(place >= 0, np.arange(128), 999)
-        nearest = np.minimum.accumulate(column[:, ::-1], axis=1)[:, ::-1][:, :64]
-        taken = np.take_along_axis(place, nearest, axis=1)
-        bits = (mix(self.raw + np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(17) & np.uint64(1))[taken]
-        out[docs] = (bits << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        out = np.zeros((len(self.sizes), cells), np.uint64)
+        for begin in range(0, len(self.sizes), _CHUNK):
+            end = min(begin + _CHUNK, len(self.sizes))
+            x, y = self.starts[begin], self.starts[end]
+            out[begin:end] = _sampled(self.hashes[x:y], self.doc[x:y] - begin, end - begin, cells, salt)
         return out
 
+    def sketches(self, salt: int = 2) -> np.ndarray:
+        """64 bits per text, one of each of 64 samples; see ``sketch_distance``."""
+        bits = mix(self.samples(64, salt)) >> np.uint64(63)
+        return (bits << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
-    def telling_sketches(self) -> pa.Array:
-        """Sketches as signed numbers; null for texts of fewer than ``SKETCHED`` sequences, whose borrowed bits depend on each other."""
-        return pa.array(self.sketches().view(np.int64), mask=self.sizes < SKETCHED)
+    def parities(self) -> pa.ListArray:
+        """For each text a field of bits, of which each sequence turns one; at least 1.5 bits a sequence, in words of 64.
 
+        Two texts differ in at least as many sequences as their fields differ in bits; see ``may_reach``.
+        """
+        words = np.maximum(1, 1 << np.ceil(np.log2(np.maximum(1.5 * self.sizes / 64, 1))).astype(np.int64))
+        offsets = np.concatenate([[0], np.cumsum(words)])
+        at = offsets[self.doc] * 64 + ((self.hashes >> np.uint64(13)) & (words[self.doc] * 64 - 1).astype(np.uint64)).astype(np.int64)
+        odd = (np.bincount(at, minlength=int(offsets[-1]) * 64) & 1).astype(np.uint8)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.packbits(odd, bitorder="little").view(np.int64)))
+
+
+def _sampled(hashes: np.ndarray, doc: np.ndarray, n: int, cells: int, salt: int) -> np.ndarray:
+    out, empty = np.zeros(n * cells, np.uint64), np.ones(n * cells, bool)
+    width = cells.bit_length() - 1
+    place_bits = _CHUNK.bit_length() - 1 + width  # the same for few texts as for many, or samples would not agree
+    rng = np.random.default_rng(salt)
+    for turn in range(2 * cells):
+        if not len(hashes):
+            break
+        odd, shift = rng.integers(0, 2**63, 2, dtype=np.uint64)
+        thrown = (hashes ^ shift) * (odd | np.uint64(1))
+        place = doc * cells + ((thrown >> np.uint64(64 - width)).astype(np.int64) if turn < cells else turn - cells)
+        new = empty[place]
+        # one number to sort by: cell, then hash
+        packed = np.sort(place[new].astype(np.uint64) << np.uint64(64 - place_bits) | (thrown[new] << np.uint64(width)) >> np.uint64(place_bits))
+        place = (packed >> np.uint64(64 - place_bits)).astype(np.int64)
+        first = np.concatenate([[True], place[1:] != place[:-1]])[: len(place)]
+        out[place[first]] = (packed[first] << np.uint64(place_bits)) + np.uint64(turn + 1)
+        empty[place[first]] = False
+        left = empty.reshape(n, cells).any(axis=1)[doc]
+        if not left.all():
+            hashes, doc = hashes[left], doc[left]
+    return out.reshape(n, cells)
 
-def near(left: str, right: str, apart: int) -> Column:
-    """Whether two sketches differ in at most ``apart`` bits; true where one is null, which leaves it to the exact check."""
-    return F.col(left).isNull() | F.col(right).isNull() | (F.bit_count(F.col(left).bitwiseXOR(F.col(right))) <= apart)
 
+def near(left: str, right: str, apart: int) -> Column:
+    """Whether two sketches differ in at most ``apart`` bits."""
+    return F.bit_count(F.col(left).bitwiseXOR(F.col(right))) <= apart
 
-def sketch_distance(similarity: float, deviations: float = 3.5) -> int:
-    """Bits in which the sketches of two texts of this similarity may differ, but for so many standard deviations.
 
-    Holds for independent bits; see ``SKETCHED``.
-    """
+def sketch_distance(similarity: float, deviations: float = 4.5) -> int:
+    """Bits in which the sketches of two texts of this similarity may differ, but for so many standard deviations (4.5: one pair in 300,000)."""
     differ = (1 - similarity) / 2
     return int(64 * differ + deviations * (64 * differ * (1 - differ)) ** 0.5 + 1)
 
 
+def may_reach(x: str, y: str, similarity: float) -> Column:
+    """False only where the sizes ``n_{x,y}`` and the bits ``odd_{x,y}`` rule out that two texts reach ``similarity``."""
+    a, b = F.col(f"odd_{x}"), F.col(f"odd_{y}")
+    a, b = F.when(F.size(a) < F.size(b), b).otherwise(a), F.when(F.size(a) < F.size(b), a).otherwise(b)
+    half = F.size(b)
+    folded = F.when(F.size(a) == half, a).otherwise(F.zip_with(F.slice(a, F.lit(1), half), F.slice(a, half + 1, half), lambda v, w: v.bitwiseXOR(w)))
+    apart = F.aggregate(F.zip_with(folded, b, lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda s, v: s + v)
+    total = F.col(f"n_{x}") + F.col(f"n_{y}")
+    sizes = F.least(f"n_{x}", f"n_{y}") >= similarity * F.greatest(f"n_{x}", f"n_{y}") - 1e-9
+    # fields more than twice as long are of texts too far apart in size, or the similarity asked for is very low
+    return sizes & ((F.size(a) > 2 * half) | (apart <= total * ((1 - similarity) / (1 + similarity)) + 1e-9))
+
+
 def _alphanumeric() -> np.ndarray:
     """For every code point, whether it is a letter or digit."""
     global _table
@@ -209,6 +253,13 @@ def keep_listed(df: DataFrame, key: str, listed: DataFrame, column: str) -> Data
     return marked.where(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1).select(df.columns)
 
 
+def _named_sets(batch: pa.RecordBatch, side: str, words: int) -> Sets:
+    """Sets of the texts of one side; a text that stands in several pairs of the batch is cut into words once."""
+    ids = batch.column(side).dictionary_encode().indices.to_numpy()
+    _, first, which = np.unique(ids, return_index=True, return_inverse=True)
+    return sequence_sets(batch.column(f"text_{side}").take(pa.array(first)).to_pylist(), words).taken(which)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
     """Pairs (a, b) whose texts reach ``similarity``, with ``jaccard``. ``texts`` has one row for each key that ``pairs`` names.
 
@@ -224,7 +275,7 @@ def verified(pairs: DataFrame, texts: DataFrame, key: str, text: str, words: int
         for batch in batches:
             if not batch.num_rows:
                 continue
-            left, right = (sequence_sets(batch.column(c).to_pylist(), words) for c in ("text_a", "text_b"))
+            left, right = (_named_sets(batch, c, words) for c in "ab")
             score = jaccard(left, right)
             keep = pa.array(score >= similarity - 1e-12)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(score)], names=["a", "b", "jaccard"]).filter(keep)

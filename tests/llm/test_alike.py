@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernstone.llm import pigeonhole as G
-from quernstone.llm.linking import components, expanded
+from quernstone.llm.linking import BLOCK, Linked, components, expanded, pairs_by_key
 from quernstone.llm.overlap import banding, collision, cross_split_pairs
 from quernstone.llm.pigeonhole import near_duplicates
-from quernstone.llm.shingles import jaccard, sequence_sets, sketch_distance
+from quernstone.llm.shingles import jaccard, may_reach, sequence_sets, sketch_distance
 
 
 def sets(text, k):
@@ -113,11 +113,81 @@ def test_sketches_of_like_texts_are_near():
 def test_allocation_is_optimal():
     r = np.random.default_rng(1)
     for _ in range(20):
-        n, budget = 5, int(r.integers(0, 9))
-        costs = np.concatenate([np.zeros((n, 1)), np.sort(r.random((n, 2)), axis=1)], axis=1)
-        t = G.allocate(costs, budget)
-        best = min(sum(costs[i, u] for i, u in enumerate(us)) for us in itertools.product(range(3), repeat=n) if sum(us) >= budget)
-        assert (t + 1).sum() >= budget and sum(costs[i, u + 1] for i, u in enumerate(t)) == pytest.approx(best)
+        m, need = 4, 1.0
+        costs, gains = (np.concatenate([np.zeros((m, 1)), np.sort(r.random((m, 3)), axis=1)], axis=1) for _ in range(2))
+        steps = np.minimum(np.floor(gains * G._STEPS + 1e-9), G._STEPS)
+        options = [sum(costs[i, o] for i, o in enumerate(os)) for os in itertools.product(range(4), repeat=m) if sum(steps[i, o] for i, o in enumerate(os)) >= G._STEPS]
+        chosen = G.allocate(costs, gains, need)
+        if options:
+            assert gains[range(m), chosen].sum() >= need - 1e-9 and sum(costs[range(m), chosen]) == pytest.approx(min(options))
+        else:
+            assert chosen.tolist() == gains.argmax(axis=1).tolist()
+
+
+def edited(rng, words, similarity, k):
+    """A text of so many words, and a copy with single words replaced all over, as many as leave just the similarity."""
+    w = [f"w{rng.randrange(10**7)}" for _ in range(words)]
+    n, c = words - k + 1, list(w)
+    for e in range(max(1, int(n * (1 - similarity) / (1 + similarity) / k))):
+        c[int((e + rng.random()) * words / max(1, int(n * (1 - similarity) / (1 + similarity) / k)))] = f"w{rng.randrange(10**7)}"
+    return " ".join(w), " ".join(c)
+
+
+@pytest.mark.parametrize(("k", "t"), [(3, 0.6), (5, 0.8)])
+def test_recall_at_every_length(spark, k, t):
+    """Copies as little alike as is asked for, edits spread evenly, of 12 to 1,000 words: all but one in a thousand are found."""
+    r, rows, want = random.Random(11), [], 0
+    lengths = [12, 20, 30, 40, 50, 60, 80, 100, 140, 160, 180, 215, 240, 260, 340, 430, 520, 600, 800, 1000]
+    for length in lengths * 70:
+        pair = edited(r, length, t + 0.01, k)
+        want += similarity(*pair, k) >= t
+        rows += [(len(rows), pair[0]), (len(rows) + 1, pair[1])]
+    found = expanded(near_duplicates(spark.createDataFrame(rows, "id long, text string"), "id", "text", k, t))
+    got = {tuple(x) for x in found.collect()}
+    assert want > 1_000 and all(i % 2 == 0 and j == i + 1 for i, j in got) and want - 2 <= len(got) <= want
+
+
+def test_certain_finds_all(spark):
+    r, rows = random.Random(12), []
+    for length in [5, 40, 150, 400] * 40:
+        pair = edited(r, length, 0.62, 3)
+        rows += [(len(rows), pair[0]), (len(rows) + 1, pair[1])]
+    got = {tuple(x) for x in expanded(near_duplicates(spark.createDataFrame(rows, "id long, text string"), "id", "text", 3, 0.6, certain=True)).collect()}
+    assert got == {(i, i + 1) for i in range(0, len(rows), 2) if similarity(rows[i][1], rows[i + 1][1]) >= 0.6}
+
+
+def test_samples_agree_as_often_as_texts_are_alike_whatever_stands_beside_them():
+    r = random.Random(13)
+    pairs = [edited(r, length, 0.6, 3) for length in [4, 8, 30, 150] * 100]
+    left, right = (sequence_sets([p[i] for p in pairs], 3) for i in (0, 1))
+    x, y = left.samples(128), right.samples(128)
+    assert abs(float((x == y).mean()) - float(jaccard(left, right).mean())) < 0.01
+    assert (sequence_sets([pairs[3][0]], 3).samples(128)[0] == x[3]).all()
+
+
+def test_bits_never_rule_out_a_like_pair(spark):
+    r = random.Random(14)
+    pairs = [edited(r, length, s, 3) for length in (5, 20, 45, 90, 300, 900) for s in (0.3, 0.6, 0.62, 0.7, 0.9) for _ in range(10)]
+    left, right = (sequence_sets([p[i] for p in pairs], 3) for i in (0, 1))
+    rows = zip(range(len(pairs)), left.sizes.tolist(), left.parities().to_pylist(), right.sizes.tolist(), right.parities().to_pylist())
+    df = spark.createDataFrame(list(rows), "i int, n_x long, odd_x array<long>, n_y long, odd_y array<long>")
+    kept = {x["i"] for x in df.where(may_reach("x", "y", 0.6)).collect()}
+    like = {i for i, p in enumerate(pairs) if similarity(*p) >= 0.6}
+    assert like <= kept and len(kept) < len(pairs)
+
+
+def test_a_class_and_a_bucket_of_a_third_of_the_rows(spark):
+    """Equal texts are paired in blocks, and so are the many different texts under one key."""
+    n = 2 * BLOCK + 40
+    members = spark.range(n).select("id", F.lit(0).cast("long").alias("rep"), F.lit(n).cast("long").alias("size")).unionAll(spark.sql("select 5000L, 5000L, 1L"))
+    links = spark.createDataFrame([(0, 5000, 0.9)], "a long, b long, jaccard double")
+    got = [tuple(x) for x in expanded(Linked(members, links)).collect()]
+    assert len(got) == len(set(got)) == n * (n - 1) // 2 + n and all(i < j for i, j in got)
+    keys = spark.range(n).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("cls"), F.lit(0).cast("long").alias("sketch"))
+    pairs = pairs_by_key(keys, 0)
+    assert pairs.count() == n * (n - 1) // 2
+    sided = pairs_by_key(keys.withColumn("side", F.col("cls") < 300), 0, sided=True)
+    assert sided.count() == sided.where("x < 300 and y >= 300").count() == 300 * (n - 300)
 
 
 def test_components_of_a_chain_and_an_island(spark):

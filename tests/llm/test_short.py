@@ -2,9 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quernstone.llm.linking import pairs_by_key
 from quernstone.llm.overlap import cross_split_pairs
-from quernstone.llm.shingles import SKETCHED, sequence_sets
 
 
 def test_short_like_texts_are_not_lost(spark):
@@ -15,14 +13,3 @@ def test_short_like_texts_are_not_lost(spark):
         rows += [(2 * i, " ".join(w), True), (2 * i + 1, " ".join([*w[:9], "other", *w[10:]]), False)]
     df = spark.createDataFrame(rows, "id long, text string, side boolean")
     assert cross_split_pairs(df, "id", "text", F.col("side"), 3, 0.6, 0.7).count() >= 297
-
-
-def test_missing_sketches_meet_whatever_the_other_is(spark):
-    keys = spark.createDataFrame([(1, 10, None), (1, 11, -1), (1, 12, 0)], "key long, cls long, sketch long")
-    assert sorted(tuple(x) for x in pairs_by_key(keys, 20).collect()) == [(10, 11), (10, 12)]
-
-
-def test_only_long_texts_have_sketches():
-    words = [f"w{i}" for i in range(SKETCHED + 2)]
-    got = sequence_sets([" ".join(words), " ".join(words[1:]), None], 3).telling_sketches()
-    assert [x is None for x in got.to_pylist()] == [False, True, True]
