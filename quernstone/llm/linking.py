@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
-from quernstone.llm.shingles import may_reach, near, verified
+from quernstone.llm.shingles import may_reach, verified
 from quernstone.plans.session import checkpointed
 
 #: Classes under one key that one task pairs at once; larger groups are cut into blocks of this size.
 BLOCK = 256
+#: Rows under one key that are paired as they pass; what a task holds at once.
+TOGETHER = 1024
 
 
 @dataclass(frozen=True)
@@ -39,31 +44,118 @@ def class_members(profile: DataFrame) -> DataFrame:
 
 
 def pairs_by_key(keys: DataFrame, apart: int, sided: bool = False) -> DataFrame:
-    """Distinct pairs (x, y) of classes that share a key and whose sketches differ in at most ``apart`` bits, from (key, cls, sketch).
+    """Distinct pairs (x, y) of classes that share a key and whose sketches differ in at most ``apart`` bits, from (key, cls, s1, s2).
 
-    x < y; with ``sided``, ``keys`` has a boolean ``side``, and x is of a true row, y of a false one. Keys of one class, or of one
-    side, are dropped before anything is paired. Large groups are cut into blocks, and every two blocks that have to meet do so
-    under a key of their own, so that pairing a group is spread over tasks and none of its pairs is left out. Before that the
-    narrow rows of a key are counted in one task (sorted, spilling to disk).
+    x < y; with ``sided``, ``keys`` has a boolean ``side``, and x is of a true row, y of a false one. Keys are moved and sorted
+    once; groups of up to ``TOGETHER`` rows are paired as they pass, larger ones stream on to be cut into blocks. Every two blocks
+    that have to meet then do so under a key of their own, so that pairing a group is spread over tasks, none holds a whole
+    group, and none of its pairs is left out.
     """
-    of_key = Window.partitionBy("key")
-    # moved by key once; the rest up to the checkpoint happens where the rows then are
-    moved = keys.repartition("key")
+    columns = ["key", "cls", "s1", "s2"] + ["side"] * sided
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairing = _Pairing(apart, sided)
+        for batch in batches:
+            yield from pairing.take([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
+        yield from pairing.take(None)
+
+    moved = keys.select(columns).repartition("key").sortWithinPartitions("key")
+    met = checkpointed(moved.mapInArrow(run, "key long, x long, y long, s1 long, s2 long, side boolean"))
+    few = met.where("key is null").select("x", "y")
+    many = met.where("key is not null").select("key", F.col("x").alias("cls"), "s1", "s2", "side").distinct()
+    if met.where("key is not null").limit(1).count():
+        few = few.unionAll(_pairs_in_blocks(many, apart, sided))
+    return few.distinct()
+
+
+class _Pairing:
+    """Pairs rows of equal keys that come sorted by key, a batch at a time. The last key of a batch waits for more of its rows."""
+
+    def __init__(self, apart: int, sided: bool) -> None:
+        self.apart, self.sided = apart, sided
+        self.held: list[np.ndarray] | None = None
+        self.large: int | None = None  # the key whose rows are passed on
+
+    def take(self, rows: list[np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+        last, held = rows is None, self.held
+        if rows is None or held is None:
+            rows = held if rows is None else rows
+        else:
+            rows = [np.concatenate(pair) for pair in zip(held, rows)]
+        self.held = None
+        if rows is None or not len(rows[0]):
+            return
+        key = rows[0]
+        if self.large is not None:
+            n = int(np.searchsorted(key, self.large, "right"))
+            yield self._out([c[:n] for c in rows])
+            rows = [c[n:] for c in rows]
+            key = rows[0]
+            if not len(key):
+                return
+            self.large = None
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.concatenate([begin, [len(key)]]))
+        if not last:
+            if size[-1] > TOGETHER:
+                self.large = int(key[-1])
+            else:
+                self.held = [c[begin[-1] :] for c in rows]
+                rows = [c[: begin[-1]] for c in rows]
+                begin, size = begin[:-1], size[:-1]
+        each = np.repeat(size, size)
+        if (each > TOGETHER).any():
+            yield self._out([c[each > TOGETHER] for c in rows])
+        use = (each > 1) & (each <= TOGETHER)
+        left = (np.repeat(begin + size, size) - 1 - np.arange(len(each)))[use]  # rows of the same key behind this one
+        _, cls, s1, s2, *side = (c[use] for c in rows)
+        s1, s2 = s1.view(np.uint64), s2.view(np.uint64)
+        i, found = np.flatnonzero(left), []
+        for d in range(1, TOGETHER):
+            i = i[left[i] >= d]
+            if not len(i):
+                break
+            j = i + d
+            near = np.bitwise_count(s1[i] ^ s1[j]) + np.bitwise_count(s2[i] ^ s2[j]) <= self.apart
+            near &= cls[i] != cls[j]
+            if self.sided:
+                near &= side[0][i] != side[0][j]
+            if near.any():
+                x, y = i[near], j[near]
+                swap = ~side[0][x].astype(bool) if self.sided else cls[x] > cls[y]
+                found.append(np.stack([cls[np.where(swap, y, x)], cls[np.where(swap, x, y)]]))
+        if found:
+            x, y = np.unique(np.concatenate(found, axis=1), axis=1)
+            none = pa.nulls(len(x), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(x), pa.array(y), none, none, pa.nulls(len(x), pa.bool_())], names=_MET)
+
+    def _out(self, rows: list[np.ndarray]) -> pa.RecordBatch:
+        key, cls, s1, s2, *side = rows
+        flag = pa.array(side[0].astype(bool)) if self.sided else pa.nulls(len(key), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls), pa.nulls(len(key), pa.int64()), pa.array(s1), pa.array(s2), flag], names=_MET)
+
+
+_MET = ["key", "x", "y", "s1", "s2", "side"]
+
+
+def _pairs_in_blocks(shared: DataFrame, apart: int, sided: bool) -> DataFrame:
+    """Pairs of rows of equal keys, from (key, cls, s1, s2, side), for keys with very many rows, which are counted by partial sums."""
+    near = F.bit_count(F.col("xs1").bitwiseXOR(F.col("ys1"))) + F.bit_count(F.col("xs2").bitwiseXOR(F.col("ys2"))) <= apart
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int").alias(n)
+    if not sided:
+        counted = shared.join(shared.groupBy("key").agg(F.count("*").alias("blocks")).select("key", blocks("blocks")), "key")
+        left, right = _blocks_that_meet(counted, "cls", ["key"], ["s1", "s2"])
+        # x from the lower block, y from the higher; within one block each pair once
+        pairs = left.join(right, ["key", "lo", "hi"]).where("lo < hi or x0 < y0").where(near)
+        return pairs.select(F.least("x0", "y0").alias("x"), F.greatest("x0", "y0").alias("y")).where("x <> y")
+    counts = shared.groupBy("key").agg(F.count_if("side").alias("b_true"), F.count_if(~F.col("side")).alias("b_false"))
+    counted = shared.join(counts.where("b_true > 0 and b_false > 0").select("key", blocks("b_true"), blocks("b_false")), "key")
     pick = lambda c, n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int").alias(c)
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    if sided:
-        counted = moved.withColumn("n_true", F.count_if("side").over(of_key)).withColumn("n_false", F.count_if(~F.col("side")).over(of_key))
-        shared = checkpointed(counted.where("n_true > 0 and n_false > 0").distinct().select("key", "cls", "sketch", "side", blocks("n_true").alias("b_true"), blocks("n_false").alias("b_false")))
-        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = shared.where("side").select("key", pick("lo", "b_true"), each("b_false").alias("hi"), F.col("cls").alias("x0"), F.col("sketch").alias("xs"))
-        right = shared.where("not side").select("key", each("b_true").alias("lo"), pick("hi", "b_false"), F.col("cls").alias("y0"), F.col("sketch").alias("ys"))
-        return left.join(right, ["key", "lo", "hi"]).where(near("xs", "ys", apart)).where("x0 <> y0").select(F.col("x0").alias("x"), F.col("y0").alias("y")).distinct()
-    counted = moved.withColumn("n", F.count("*").over(of_key)).where("n > 1").distinct()
-    shared = checkpointed(counted.select("key", "cls", "sketch", blocks("n").alias("blocks")))
-    left, right = _blocks_that_meet(shared, "cls", ["key"], ["sketch"])
-    # x from the lower block, y from the higher; within one block each pair once
-    pairs = left.join(right, ["key", "lo", "hi"]).where("lo < hi or x0 < y0").where(near("xsketch", "ysketch", apart))
-    return pairs.select(F.least("x0", "y0").alias("x"), F.greatest("x0", "y0").alias("y")).where("x <> y").distinct()
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    of = lambda name: [F.col("cls").alias(f"{name}0"), F.col("s1").alias(f"{name}s1"), F.col("s2").alias(f"{name}s2")]
+    left = counted.where("side").select("key", pick("lo", "b_true"), each("b_false").alias("hi"), *of("x"))
+    right = counted.where("not side").select("key", each("b_true").alias("lo"), pick("hi", "b_false"), *of("y"))
+    return left.join(right, ["key", "lo", "hi"]).where(near).where("x0 <> y0").select(F.col("x0").alias("x"), F.col("y0").alias("y"))
 
 
 def _blocks_that_meet(df: DataFrame, item: str, group: list[str], more: list[str]) -> tuple[DataFrame, DataFrame]:

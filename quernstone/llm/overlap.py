@@ -37,7 +37,7 @@ def band_keys(sets: Sets, bands: int, rows: int, salt: int = 7) -> np.ndarray:
 
 
 def _scan(df: DataFrame, id_kind: str, words: int, bands: int, rows: int) -> DataFrame:
-    """(id, side, cls, cls2, n, odd, sketch, keys) of every text; the last two only once for each class and side of a task."""
+    """(id, side, cls, cls2, n, odd, s1, s2, keys) of every text; the last three only once for each class and side of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[tuple[int, bool]] = set()
@@ -55,14 +55,14 @@ def _scan(df: DataFrame, id_kind: str, words: int, bands: int, rows: int) -> Dat
             new = sets.taken(np.flatnonzero(fresh))
             offsets = np.concatenate([[0], np.cumsum(fresh * bands)])
             keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(band_keys(new, bands, rows).ravel().view(np.int64)))
-            sketch = np.zeros(len(cls), np.int64)
-            sketch[fresh] = new.sketches().view(np.int64)
+            sketch = np.zeros((2, len(cls)), np.int64)
+            sketch[:, fresh] = [s.view(np.int64) for s in new.sketches()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("side"), pa.array(cls), pa.array(sets.fingerprints(1).view(np.int64)), pa.array(sets.sizes), sets.parities(), pa.array(sketch), keys],
-                names=["id", "side", "cls", "cls2", "n", "odd", "sketch", "keys"],
+                [b.column("id"), b.column("side"), pa.array(cls), pa.array(sets.fingerprints(1).view(np.int64)), pa.array(sets.sizes), sets.parities(), pa.array(sketch[0]), pa.array(sketch[1]), keys],
+                names=["id", "side", "cls", "cls2", "n", "odd", "s1", "s2", "keys"],
             )
 
-    return df.mapInArrow(run, f"id {id_kind}, side boolean, cls long, cls2 long, n long, odd array<long>, sketch long, keys array<long>")
+    return df.mapInArrow(run, f"id {id_kind}, side boolean, cls long, cls2 long, n long, odd array<long>, s1 long, s2 long, keys array<long>")
 
 
 def cross_split_pairs(df: DataFrame, key: str, text: str, is_eval: Column, words: int = WORDS, similarity: float = SIMILARITY, tuned_for: float | None = None) -> DataFrame:
@@ -78,7 +78,7 @@ def cross_split_pairs(df: DataFrame, key: str, text: str, is_eval: Column, words
     # every text is cut into words and hashed once; all that follows reads what came of it
     scanned = checkpointed(_scan(base, dict(df.dtypes)[key], words, bands, rows))
     members = class_members(scanned.select("id", "side", "cls", "cls2", "n", "odd"))
-    keys = scanned.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "cls", "side", "sketch")
+    keys = scanned.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "cls", "side", "s1", "s2")
     alike = verified_links(members, pairs_by_key(keys, sketch_distance(tuned_for or similarity), sided=True), base, "id", text="text", words=words, similarity=similarity)
     both = alike.unionAll(alike.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard"))
     same = members.where("id = rep").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("jaccard"), "size").where("size > 1").drop("size")

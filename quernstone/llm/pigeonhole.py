@@ -11,8 +11,9 @@ bound that never errs, then exactly.
 
 Partitions whose bits may differ in one (threshold 1) would cost a key for every bit; measured, they never pay.
 
-Since similar texts have sizes within a factor of the similarity, sizes are cut into levels of a factor of two, each with its own
-number of partitions; a text is entered at its own level, and at the next lower one if a similar text could lie there.
+Since similar texts have sizes within a factor of the similarity, sizes are cut into levels of a factor of four, each with its own
+number of partitions; a text is entered at its own level, and at the next lower one if a similar text could lie there. Where the
+levels begin is fitted to the sizes of all texts, so that few are entered twice.
 
 Texts too short for that have one bit a partition, and the principle in its plain form makes them certain: of the n sequences of a
 text at least ceil(similarity * n) are shared, so one of any n - ceil(similarity * n) + 1 is; each text enters its rarest. The same
@@ -37,19 +38,21 @@ from quernstone.plans.session import checkpointed
 #: Chance with which a pair of exactly the similarity asked for, its edits spread evenly, shares a key. More alike ones have more.
 RECALL = 0.9995
 #: Hash buckets of middle words, and groups of correlated buckets.
-BUCKETS, GROUPS = 256, 8
+BUCKETS, GROUPS = 256, 4
 #: Least bits that a threshold may ask for go from 1 to this.
 MOST = 6
 #: Cells of the sketch of one partition's keys; its second moment is then known to some 25 %.
 CELLS = 32
 #: What emitting one key costs, in candidates.
-EMIT = 0.2
+EMIT = 30.0
+#: Sizes from one level to the next, and places between them at which levels may begin.
+FACTOR, PLACES = 4, 32
 #: Cells in which sequences of short texts are counted, to tell the rare ones.
 RARITY = 1 << 16
 #: Level of the texts that are made certain.
 CERTAIN = -1
 _NEED = -log(1 - RECALL)
-_STEPS = 200
+_STEPS = 1000
 
 
 @dataclass(frozen=True)
@@ -68,19 +71,53 @@ class Scheme:
 
 @dataclass(frozen=True)
 class Plan:
-    """How keys are made: below ``first`` by rarest sequences (``rarity``: how often each cell was seen), above by ``schemes``."""
+    """How keys are made: of short texts by rarest sequences (``rarity``: how often each cell was seen), of others by ``schemes``."""
 
     similarity: float
     tuned: float
-    first: int
+    levels: Levels
     group_of: np.ndarray
     schemes: dict[int, Scheme]
     rarity: np.ndarray
 
 
-def level_of(sizes: np.ndarray) -> np.ndarray:
-    """Level k holds sizes above 2**k / 1.2 up to twice that; -1 for empty sets."""
-    return np.where(sizes > 0, np.floor(np.log2(np.maximum(sizes, 1) * 1.2)), -1).astype(np.int64)
+@dataclass(frozen=True)
+class Levels:
+    """Level k holds sizes from base * FACTOR**k up to the next; those below ``first`` are made certain."""
+
+    base: float
+    first: int
+
+    def of(self, sizes: np.ndarray) -> np.ndarray:
+        """Level of each size; -1 for empty sets."""
+        return np.where(sizes > 0, np.maximum(0, np.floor(np.log(np.maximum(sizes, 1) / self.base) / log(FACTOR) + 1e-12)), -1).astype(np.int64)
+
+    def low(self, level: float) -> float:
+        return self.base * FACTOR**level
+
+    def entered(self, sizes: np.ndarray, tuned: float) -> list[tuple[int, np.ndarray]]:
+        """Levels from ``first`` on, and the texts entered there."""
+        own = self.of(sizes)
+        low = np.minimum(own, self.of(np.ceil(sizes * tuned - 1e-9).astype(np.int64)))
+        return [(int(k), (low <= k) & (k <= own)) for k in np.unique(np.concatenate([own, low])) if k >= self.first]
+
+    def short(self, sizes: np.ndarray, similarity: float) -> np.ndarray:
+        """The texts that are short themselves or could be like a short one."""
+        return (sizes > 0) & (self.of(np.ceil(sizes * similarity - 1e-9).astype(np.int64)) < self.first)
+
+    def shape(self, level: int, tuned: float) -> tuple[int, int] | None:
+        return shape(self.low(level), self.low(level + 1), tuned)
+
+
+def levels_for(sizes: np.ndarray, tuned: float) -> Levels:
+    """Levels that begin where fewest texts lie just above; ``sizes[i]`` texts have about ``FACTOR ** (i / PLACES)`` sequences."""
+    reach = max(1, round(-log(tuned) / log(FACTOR) * PLACES))  # places within which a text above a beginning is entered twice
+    twice = np.zeros(PLACES)
+    for i in range(reach):
+        np.add.at(twice, (np.arange(len(sizes)) - i) % PLACES, sizes)
+    base = FACTOR ** (int(np.argmin(twice)) / PLACES)
+    bare = Levels(base, 0)
+    return Levels(base, max([k for k in range(12) if bare.shape(k, tuned) is None], default=-1) + 1)
 
 
 def untouched(partitions: int, size: float, similarity: float, least: int) -> float:
@@ -93,10 +130,9 @@ def untouched(partitions: int, size: float, similarity: float, least: int) -> fl
     return partitions * exp(-differ) * (1 - fewer)
 
 
-@lru_cache(maxsize=256)
-def shape(level: int, similarity: float) -> tuple[int, int] | None:
+@lru_cache(maxsize=1024)
+def shape(low: float, high: float, similarity: float) -> tuple[int, int] | None:
     """Groups and split of a level: the fewest partitions that leave room for ``RECALL`` at both its ends. None if there is no such number."""
-    low, high = 2.0**level / 1.2, 2.0 ** (level + 1) / 1.2
     for split in range(1, int(high / GROUPS) + 2):
         m = GROUPS * split
         if untouched(m, high, similarity, 2) >= 1.3 * _NEED and untouched(m, low, similarity, 1) >= 1.3 * _NEED:
@@ -104,11 +140,6 @@ def shape(level: int, similarity: float) -> tuple[int, int] | None:
     return None
 
 
-def first_level(similarity: float) -> int:
-    """The least level from which on every level has a shape."""
-    return max([k for k in range(24) if shape(k, similarity) is None], default=-1) + 1
-
-
 def projected(sets: Sets, chosen: np.ndarray, scheme: Scheme, group_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the ``chosen`` texts (their numbers): how many bits each has in each partition, and the hash of these bits."""
     m, docs = scheme.partitions, np.flatnonzero(chosen)
@@ -193,23 +224,12 @@ def allocate(costs: np.ndarray, gains: np.ndarray, need: float) -> np.ndarray:
     return out
 
 
-def _levels(sizes: np.ndarray, tuned: float, first: int) -> list[tuple[int, np.ndarray]]:
-    """Levels from ``first`` on, and the texts entered there."""
-    own = level_of(sizes)
-    low = np.minimum(own, level_of(np.ceil(sizes * tuned - 1e-9).astype(np.int64)))
-    return [(int(k), (low <= k) & (k <= own)) for k in np.unique(np.concatenate([own, low])) if k >= first]
-
-
-def _short(sizes: np.ndarray, similarity: float, first: int) -> np.ndarray:
-    """The texts that are short themselves or could be like a short one."""
-    return (sizes > 0) & (level_of(np.ceil(sizes * similarity - 1e-9).astype(np.int64)) < first)
-
-
-def _correlations(df: DataFrame, text: str) -> np.ndarray:
-    """How often the buckets of words occur in the same texts, over all texts."""
+def _correlations(df: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Over all texts: how often the buckets of words occur in the same ones, and how many have about so many sequences (see ``levels_for``)."""
+    places = 32 * PLACES  # sizes up to FACTOR ** 32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        together = np.zeros((BUCKETS, BUCKETS), np.int64)
+        together, sizes = np.zeros((BUCKETS, BUCKETS), np.int64), np.zeros(places, np.int64)
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 w, counts = word_hashes(batch.column("text")[i : i + 1000].to_pylist())
@@ -217,14 +237,18 @@ def _correlations(df: DataFrame, text: str) -> np.ndarray:
                 seen = np.zeros((len(counts), BUCKETS), np.float32)
                 seen[np.repeat(np.arange(len(counts)), counts), bucket] = 1
                 together += (seen.T @ seen).astype(np.int64)
-        cells = np.flatnonzero(np.triu(together))
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(together.ravel()[cells])], names=["cell", "n"])
-
-    together = np.zeros((BUCKETS, BUCKETS), np.int64)
-    # at most BUCKETS ** 2 / 2 rows, whatever the input
+                n = counts[counts >= words] - words + 1
+                sizes += np.bincount((np.log(n) / log(FACTOR) * PLACES).astype(np.int64), minlength=places)
+        out = np.concatenate([np.triu(together).ravel(), sizes])
+        cells = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(out[cells])], names=["cell", "n"])
+
+    out = np.zeros(BUCKETS * BUCKETS + places, np.int64)
+    # at most BUCKETS ** 2 / 2 + places rows, whatever the input
     for r in df.select(F.col(text).alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        together[r["cell"] // BUCKETS, r["cell"] % BUCKETS] = r["n"]
-    return np.maximum(together, together.T)
+        out[r["cell"]] = r["n"]
+    together = out[: BUCKETS * BUCKETS].reshape(BUCKETS, BUCKETS)
+    return np.maximum(together, together.T), out[BUCKETS * BUCKETS :]
 
 
 _STATS = ["level", "kind", "cell", "x", "y"]
@@ -233,8 +257,8 @@ _STATS = ["level", "kind", "cell", "x", "y"]
 class _Tally:
     """Sums of one task: second moments of keys (kind 0), gains (1), bits in each partition (2), sequences of short texts (3)."""
 
-    def __init__(self, tuned: float, first: int, group_of: np.ndarray) -> None:
-        self.tuned, self.first, self.group_of = tuned, first, group_of
+    def __init__(self, similarity: float, tuned: float, levels: Levels, group_of: np.ndarray) -> None:
+        self.similarity, self.tuned, self.levels, self.group_of = similarity, tuned, levels, group_of
         self.sums: dict[tuple[int, int], np.ndarray] = {}
 
     def _add(self, level: int, kind: int, cell: np.ndarray, x: np.ndarray | None, y: np.ndarray | None, size: int) -> None:
@@ -242,13 +266,13 @@ class _Tally:
         held[0] += np.bincount(cell, weights=x, minlength=size)
         held[1] += np.bincount(cell, weights=y, minlength=size)
 
-    def add(self, sets: Sets, similarity: float) -> None:
-        short = _short(sets.sizes, similarity, self.first)[sets.doc]
+    def add(self, sets: Sets) -> None:
+        short = self.levels.short(sets.sizes, self.similarity)[sets.doc]
         if short.any():
             self._add(CERTAIN, 3, _rarity_cell(sets.hashes[short]), None, None, RARITY)
         q = 2 * self.tuned / (1 + self.tuned)
-        for level, chosen in _levels(sets.sizes, self.tuned, self.first):
-            groups, split = shape(level, self.tuned)
+        for level, chosen in self.levels.entered(sets.sizes, self.tuned):
+            groups, split = self.levels.shape(level, self.tuned)
             scheme = Scheme(level, groups, split, np.empty(0))
             docs, count, keys = projected(sets, chosen, scheme, self.group_of)
             m = scheme.partitions
@@ -256,7 +280,7 @@ class _Tally:
             c, k = count[row, part], keys[row, part]
             place = part * MOST + np.minimum(c, MOST) - 1
             self._add(level, 0, place * CELLS + (k % np.uint64(CELLS)).astype(np.int64), np.where((k >> np.uint64(20)) & np.uint64(1), 1.0, -1.0), None, m * MOST * CELLS)
-            half = (sets.sizes[docs] >= 2.0 ** (level + 0.5) / 1.2).astype(np.int64)
+            half = (sets.sizes[docs] >= self.levels.low(level + 0.5)).astype(np.int64)
             self._add(level, 1, half[row] * m * MOST + place, q**c, None, 2 * m * MOST)
             each = np.bincount(half, minlength=2).astype(float)
             self._add(level, 2, half[row] * m + part, c.astype(float), None, 2 * m + 2)
@@ -273,17 +297,17 @@ class _Tally:
         )
 
 
-def _profiled(df: DataFrame, key: str, text: str, words: int, similarity: float, tuned: float, first: int, group_of: np.ndarray) -> tuple[DataFrame, Plan]:
+def _profiled(df: DataFrame, key: str, text: str, words: int, similarity: float, tuned: float, levels: Levels, group_of: np.ndarray) -> tuple[DataFrame, Plan]:
     """Each text's class (two hashes of its set), size and parities; and the plan, from sums over all texts."""
     kind = dict(df.dtypes)[key]
     names = ["id", "cls", "cls2", "n", "odd", *_STATS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, id_type = _Tally(tuned, first, group_of), None
+        tally, id_type = _Tally(similarity, tuned, levels, group_of), None
         for batch in batches:
             id_type, n = batch.column("id").type, batch.num_rows
             sets = sequence_sets(batch.column("text").to_pylist(), words)
-            tally.add(sets, similarity)
+            tally.add(sets)
             nothing = [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets.fingerprints().view(np.int64)), pa.array(sets.fingerprints(1).view(np.int64)), pa.array(sets.sizes), sets.parities(), *nothing], names=names)
         if id_type is not None:
@@ -297,16 +321,16 @@ def _profiled(df: DataFrame, key: str, text: str, words: int, similarity: float,
     square = F.col("kind") == 0
     at = F.when(square, F.expr(f"cell div {CELLS}")).otherwise(F.col("cell").cast("long"))
     rows = sums.groupBy("level", "kind", at.alias("at")).agg(F.sum(F.when(square, F.col("x") * F.col("x")).otherwise(F.col("x"))).alias("x"), F.sum("y").alias("y")).collect()
-    return both.where("level is null").select("id", "cls", "cls2", "n", "odd"), _planned(rows, similarity, tuned, first, group_of)
+    return both.where("level is null").select("id", "cls", "cls2", "n", "odd"), _planned(rows, similarity, tuned, levels, group_of)
 
 
-def _planned(rows: list, similarity: float, tuned: float, first: int, group_of: np.ndarray) -> Plan:
+def _planned(rows: list, similarity: float, tuned: float, levels: Levels, group_of: np.ndarray) -> Plan:
     rarity, by_level = np.zeros(RARITY), {}
     for level, kind, at, x, y in rows:
         if kind == 3:
             rarity[at] = y
             continue
-        groups, split = shape(level, tuned)
+        groups, split = levels.shape(level, tuned)
         m = groups * split
         tables = by_level.setdefault(level, (np.zeros((m * MOST, 2)), np.zeros(2 * m * MOST), np.zeros(2 * m + 2)))
         if kind == 0:
@@ -315,7 +339,7 @@ def _planned(rows: list, similarity: float, tuned: float, first: int, group_of:
             tables[kind][at] = x
     q, schemes = 2 * tuned / (1 + tuned), {}
     for level, (moments, kept, bits) in by_level.items():
-        groups, split = shape(level, tuned)
+        groups, split = levels.shape(level, tuned)
         m = groups * split
         # at least so many bits: sums from the most downwards
         up = lambda t: np.cumsum(t[..., ::-1], axis=-1)[..., ::-1]
@@ -326,15 +350,15 @@ def _planned(rows: list, similarity: float, tuned: float, first: int, group_of:
         none = np.zeros((m, 1))
         chosen = allocate(np.hstack([none, np.maximum(0, f2 - n) / 2 + EMIT * n]), np.hstack([none, gain]), _NEED)
         schemes[level] = Scheme(level, groups, split, chosen)
-    return Plan(similarity, tuned, first, group_of, schemes, rarity)
+    return Plan(similarity, tuned, levels, group_of, schemes, rarity)
 
 
 def keys_of(sets: Sets, chosen: np.ndarray, plan: Plan) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text, key) of the chosen texts, level by level."""
-    short = chosen & _short(sets.sizes, plan.similarity, plan.first)
+    short = chosen & plan.levels.short(sets.sizes, plan.similarity)
     if short.any():
         yield rarest(sets, short, plan.similarity, plan.rarity)
-    for level, here in _levels(sets.sizes, plan.tuned, plan.first):
+    for level, here in plan.levels.entered(sets.sizes, plan.tuned):
         scheme = plan.schemes[level]
         docs, count, keys = projected(sets, here & chosen, scheme, plan.group_of)
         row, part = np.nonzero((count >= scheme.least) & (scheme.least > 0))
@@ -342,13 +366,13 @@ def keys_of(sets: Sets, chosen: np.ndarray, plan: Plan) -> Iterator[tuple[np.nda
 
 
 def _keys(df: DataFrame, text: str, words: int, plan: Plan) -> DataFrame:
-    """(key, cls, sketch) of every class, once per task: a class met again in the same task gives nothing new."""
+    """(key, cls, s1, s2) of every class, once per task: a class met again in the same task gives nothing new."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
             sets = sequence_sets(batch.column("text").to_pylist(), words)
-            cls, sketch = sets.fingerprints().view(np.int64), sets.sketches().view(np.int64)
+            cls = sets.fingerprints().view(np.int64)
             fresh = np.zeros(len(cls), bool)
             for i, c in enumerate(cls.tolist()):
                 if c not in met:
@@ -356,10 +380,12 @@ def _keys(df: DataFrame, text: str, words: int, plan: Plan) -> DataFrame:
                     fresh[i] = True
             if len(met) > 1_000_000:
                 met.clear()
-            for doc, k in keys_of(sets, fresh, plan):
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(cls[doc]), pa.array(sketch[doc])], names=["key", "cls", "sketch"])
+            sets, cls = sets.taken(np.flatnonzero(fresh)), cls[fresh]
+            s1, s2 = (s.view(np.int64) for s in sets.sketches())
+            for doc, k in keys_of(sets, np.ones(len(cls), bool), plan):
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(cls[doc]), pa.array(s1[doc]), pa.array(s2[doc])], names=["key", "cls", "s1", "s2"])
 
-    return df.select(F.col(text).alias("text")).mapInArrow(run, "key long, cls long, sketch long")
+    return df.select(F.col(text).alias("text")).mapInArrow(run, "key long, cls long, s1 long, s2 long")
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, words: int = WORDS, similarity: float = SIMILARITY, tuned_for: float | None = None, certain: bool = False) -> Linked:
@@ -374,8 +400,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, words: int = WORDS, simi
     part. Whole texts count, of any length. An empty table gives empty results.
     """
     rows, tuned = df.where(F.col(key).isNotNull()), tuned_for or similarity
-    first = 63 if certain else first_level(tuned)
-    group_of = group_buckets(_correlations(rows, text))
-    profile, plan = _profiled(rows, key, text, words, similarity, tuned, first, group_of)
+    together, sizes = _correlations(rows, text, words)
+    levels, group_of = Levels(1.0, 63) if certain else levels_for(sizes, tuned), group_buckets(together)
+    profile, plan = _profiled(rows, key, text, words, similarity, tuned, levels, group_of)
     members = class_members(profile)
     return linked(members, pairs_by_key(_keys(rows, text, words, plan), sketch_distance(tuned)), rows, key, text, words, similarity)

@@ -76,10 +76,10 @@ class Sets:
             out[begin:end] = _sampled(self.hashes[x:y], self.doc[x:y] - begin, end - begin, cells, salt)
         return out
 
-    def sketches(self, salt: int = 2) -> np.ndarray:
-        """64 bits per text, one of each of 64 samples; see ``sketch_distance``."""
-        bits = mix(self.samples(64, salt)) >> np.uint64(63)
-        return (bits << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    def sketches(self, salt: int = 2) -> tuple[np.ndarray, np.ndarray]:
+        """Two times 64 bits per text, one of each of 128 samples; see ``sketch_distance``."""
+        bits = mix(self.samples(128, salt)) >> np.uint64(63)
+        return tuple((bits[:, i : i + 64] << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) for i in (0, 64))
 
     def parities(self) -> pa.ListArray:
         """For each text a field of bits, of which each sequence turns one; at least 1.5 bits a sequence, in words of 64.
@@ -117,15 +117,10 @@ def _sampled(hashes: np.ndarray, doc: np.ndarray, n: int, cells: int, salt: int)
     return out.reshape(n, cells)
 
 
-def near(left: str, right: str, apart: int) -> Column:
-    """Whether two sketches differ in at most ``apart`` bits."""
-    return F.bit_count(F.col(left).bitwiseXOR(F.col(right))) <= apart
-
-
 def sketch_distance(similarity: float, deviations: float = 4.5) -> int:
     """Bits in which the sketches of two texts of this similarity may differ, but for so many standard deviations (4.5: one pair in 300,000)."""
     differ = (1 - similarity) / 2
-    return int(64 * differ + deviations * (64 * differ * (1 - differ)) ** 0.5 + 1)
+    return int(128 * differ + deviations * (128 * differ * (1 - differ)) ** 0.5 + 1)
 
 
 def may_reach(x: str, y: str, similarity: float) -> Column:
