@@ -3,11 +3,14 @@
 Items are spread over groups of bounded size and each group is packed best fit decreasing. Dual feasible functions give a
 lower bound on a group's containers; a group that meets its bound is certified and final. Groups with a gap keep their
 well filled containers and give up the documents of the others; those are pooled, spread anew and packed again. The pool shrinks
-from round to round until one group, or the last round, packs the rest.
+from round to round until one group, or the last round, packs the rest. What is left open is reported: every group with its
+containers, its bound and the gap, and the same for all items together.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -23,10 +26,14 @@ ROUNDS = 4
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     """Containers that any packing of ``sizes`` needs: the best of the bounds by dual feasible functions."""
-    if not len(sizes):
+    return bound_of(np.bincount(sizes, minlength=capacity + 1), capacity)
+
+
+def bound_of(count: np.ndarray, capacity: int) -> int:
+    """The same from how many items there are of each size from 0 to ``capacity``."""
+    count, x = count.astype(np.int64), np.arange(capacity + 1)
+    if not count[1:].any():
         return 0
-    count = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
-    x = np.arange(capacity + 1)
     total = int((count * x).sum())
     best = -(-total // capacity)
     # sizes above capacity - e count whole, those below e not at all
@@ -75,16 +82,30 @@ def _pack_group(items: pd.DataFrame, capacity: int) -> pd.DataFrame:
     n, bound = int(bins.max()) + 1, lower_bound(sizes, capacity)
     fill = np.bincount(bins, weights=sizes, minlength=n)
     final = np.full(n, n <= bound) | (fill >= capacity * (1 - LOOSE))
-    return items.assign(bin=bins, final=final[bins])
+    return items.assign(bin=bins, final=final[bins], bound=bound)
+
+
+@dataclass(frozen=True)
+class Packed:
+    """``placements``: key, part, n_parts, size, container. ``groups``: one row for every group packed in any round, see ``pack``.
+    ``whole``: one row for all containers, with the bound by all sizes together."""
+
+    placements: DataFrame
+    groups: DataFrame
+    whole: DataFrame
+
 
+def pack(df: DataFrame, key: str, size: str, capacity: int) -> Packed:
+    """Placements (``key, part, n_parts, size, container``) and what certifies them.
 
-def pack(df: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
-    """Placements: ``key, part, n_parts, size, container``.
+    groups: ``round, grp, n_items, containers, bound, gap`` (containers beyond the bound), ``kept`` (containers that are final; the
+    items of the others went on to the next round), ``unused`` (share of the capacity of all its containers left free). A group
+    without gap is certified: no packing of its items needs fewer. whole: ``containers, bound, gap, unused`` over all items.
 
     Only an item larger than ``capacity`` is split: into full containers of its own (part 0, 1, ...) and a rest that is
     placed like any item. An item of size 0 or null takes no room and has no container (null, part 0, n_parts 0). A negative
     size raises. ``key`` should be unique; rows that repeat are items of their own. Keys may be null. Container ids
-    are unique, not dense. Further columns of ``df`` are left out. An empty table gives no rows.
+    are unique, not dense. Further columns of ``df`` are left out. An empty table gives no rows, and zeros as a whole.
     """
     whole = F.coalesce(F.col(size).cast("long"), F.lit(0))
     base = df.select(F.col(key).alias("item"), F.when(whole < 0, F.raise_error(F.lit("negative size")).cast("long")).otherwise(whole).alias("whole"))
@@ -97,7 +118,12 @@ def pack(df: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     placed = pieces.where(F.col("size") == 0).withColumn("container", F.lit(None).cast("string")).select(result)
     placed = placed.unionAll(pieces.where(F.col("size") == capacity).withColumn("container", F.concat_ws("-", F.lit("full"), "row", "part")).select(result))
     pool = pieces.where((F.col("size") > 0) & (F.col("size") < capacity))
-    fields = ", ".join(f"{c} {kind}" for c, kind in pool.dtypes) + ", grp int, bin long, final boolean"
+    fields = ", ".join(f"{c} {kind}" for c, kind in pool.dtypes) + ", grp int, bin long, final boolean, bound long"
+    # at most one row for each size
+    sizes = np.zeros(capacity + 1, np.int64)
+    for r in pieces.groupBy("size").agg(F.count("*").alias("n")).collect():
+        sizes[r["size"]] = r["n"]
+    rounds = []
     for turn in range(ROUNDS):
         n = pool.count()
         if not n:
@@ -105,10 +131,18 @@ def pack(df: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
         groups = -(-n // GROUP_ITEMS)
         spread = pool.withColumn("grp", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(groups)).cast("int"))
         done = checkpointed(spread.groupBy("grp").applyInPandas(lambda g: _pack_group(g, capacity), fields))
+        packed = done.groupBy("grp").agg(F.count("*").alias("n_items"), F.count_distinct("bin").alias("containers"), F.max("bound").alias("bound"), F.sum("size").alias("filled"), F.count_distinct(F.when(F.col("final"), F.col("bin"))).alias("kept"))
         last = turn == ROUNDS - 1 or groups == 1  # one group has nobody to exchange with
+        rounds.append(packed.select(F.lit(turn).alias("round"), "grp", "n_items", "containers", "bound", (F.col("containers") - F.col("bound")).alias("gap"), (F.col("containers") if last else F.col("kept")).alias("kept"), (1 - F.col("filled") / (F.col("containers") * capacity)).alias("unused")))
         kept = done if last else done.where("final")
         placed = placed.unionAll(kept.withColumn("container", F.concat_ws("-", F.lit(f"r{turn}"), "grp", "bin")).select(result))
         if last:
             break
-        pool = done.where("not final").drop("grp", "bin", "final")
-    return placed.withColumnRenamed("item", key)
+        pool = done.where("not final").drop("grp", "bin", "final", "bound")
+    groups = df.sparkSession.createDataFrame([], "round int, grp int, n_items long, containers long, bound long, gap long, kept long, unused double")
+    for one in rounds:
+        groups = groups.unionAll(one)
+    bound = bound_of(sizes, capacity)
+    whole = placed.where("container is not null").agg(F.count_distinct("container").alias("containers"), F.coalesce(F.sum("size"), F.lit(0)).alias("filled"))
+    whole = whole.select("containers", F.lit(bound).cast("long").alias("bound"), (F.col("containers") - bound).alias("gap"), F.coalesce(1 - F.try_divide(F.col("filled"), F.col("containers") * capacity), F.lit(0.0)).alias("unused"))
+    return Packed(placed.withColumnRenamed("item", key), groups, whole)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quernstone.llm.bpe import count_tokens, encode
-from quernstone.llm.packing import pack
+from quernstone.llm.packing import Packed, pack
 from quernstone.llm.sampling import systematic_sample
 from quernstone.plans.session import table
 
@@ -45,16 +45,27 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
 
 
-def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The container of every document, or of every part of a document that had to be split."""
+def _packed(spark: SparkSession, sf_dir: str) -> Packed:
     sized = count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "n_tokens")
     return pack(sized, "doc_id", "n_tokens", CAPACITY)
 
 
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, or of every part of a document that had to be split."""
+    return _packed(spark, sf_dir).placements
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every group packed in any round, and (round and grp null) all documents: containers, the bound that certifies them, the gap, unused space."""
+    packed = _packed(spark, sf_dir)
+    return packed.groups.unionByName(packed.whole.withColumn("kept", F.col("containers")), allowMissingColumns=True)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that were split."""
-    return p9_containers(spark, sf_dir).where((F.col("n_parts") > 1) & (F.col("part") == 0)).select("doc_id")
+    """Documents that stand in more than one container once all are packed."""
+    placed = p9_containers(spark, sf_dir).where("container is not null")
+    return placed.groupBy("doc_id").agg(F.count_distinct("container").alias("n")).where("n > 1").select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": p5_found, "p5_report": p5_report, "p5_sample": p5_sample, "p8_ids": p8_ids, "p9_found": p9_found, "p9_containers": p9_containers}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": p5_found, "p5_report": p5_report, "p5_sample": p5_sample, "p8_ids": p8_ids, "p9_found": p9_found, "p9_containers": p9_containers, "p9_report": p9_report}
 ORACLES = {"p5_found": P5_FOUND_SQL}

@@ -25,8 +25,8 @@ def systematic_sample(df: DataFrame, targets: DataFrame, stratum: str, category:
     """``(sample, report)`` for ``targets(stratum, category, target_share, min_rows, sample_fraction)``.
 
     sample: rows of ``df`` with ``sampled_by`` (systematic or floor). report: one row per target with ``n_rows`` (there are),
-    ``n_stratum``, ``wanted`` (target_share * sample_fraction * n_stratum, unrounded), ``n_sampled``, ``target_met`` (enough
-    rows for the target), ``floor_met``. Rows whose (stratum, category) has no target, null ones too, are never drawn but
+    ``n_stratum``, ``wanted`` (target_share * sample_fraction * n_stratum, unrounded), ``n_sampled``, ``target_met`` (false where
+    the draw took all rows of the cell and still has fewer than wanted), ``floor_met``. Rows whose (stratum, category) has no target, null ones too, are never drawn but
     count in ``n_stratum``; rows with a null stratum belong to no stratum. ``key`` orders ties of the hash; equal keys hash
     alike, so repeated rows are ranked side by side. Targets are a small table of parameters: they are collected, and two
     for one cell raise. Empty tables give an empty sample and a report of zeros. A column named sampled_by, or starting
@@ -64,7 +64,7 @@ def systematic_sample(df: DataFrame, targets: DataFrame, stratum: str, category:
     ranked = rows.withColumn("__rank", rank).join(offsets, ["__cell", "__bucket"]).withColumn("__rank", F.col("__rank") + F.col("__offset"))
     # both ends are computed alike, so that the end of a row is the beginning of the next and no integer is passed twice
     at = lambda k: F.floor(F.col("__before") + F.col("__p") * k + F.lit(start))
-    drawn = ranked.withColumn("__taken", at(F.col("__rank")) > at(F.col("__rank") - 1))
+    drawn = ranked.withColumn("__taken", (F.col("__p") >= 1) | (at(F.col("__rank")) > at(F.col("__rank") - 1)))
     drawn = checkpointed(drawn.drop("__offset", "__bucket", "__before", "__p", "__h"))
 
     got = {r["__cell"]: r["n"] for r in drawn.where("__taken").groupBy("__cell").agg(F.count("*").alias("n")).collect()}
@@ -82,8 +82,9 @@ def systematic_sample(df: DataFrame, targets: DataFrame, stratum: str, category:
     sample = sample.select(*df.columns, "sampled_by")
 
     drawn_counts = sample.groupBy(F.col(stratum).alias("__s"), F.col(category).alias("__c")).agg(F.count("*").alias("n_sampled"))
+    got = F.coalesce("n_sampled", F.lit(0))
     report = dim.join(drawn_counts, ["__s", "__c"], "left").select(
         F.col("__s").alias(stratum), F.col("__c").alias(category), F.col("__n").alias("n_rows"), F.col("__n_stratum").alias("n_stratum"), F.col("__wanted").alias("wanted"),
-        F.coalesce("n_sampled", F.lit(0)).alias("n_sampled"), (F.col("__n") >= F.col("__wanted")).alias("target_met"), (F.coalesce("n_sampled", F.lit(0)) >= F.col("__min")).alias("floor_met"),
+        F.coalesce("n_sampled", F.lit(0)).alias("n_sampled"), ((got >= F.col("__wanted")) | (got < F.col("__n"))).alias("target_met"), (got >= F.col("__min")).alias("floor_met"),
     )
     return sample, report

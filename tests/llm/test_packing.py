@@ -22,7 +22,7 @@ def test_bound_sees_what_sums_do_not():
 
 def pack(spark, sizes, cap=100):
     df = spark.createDataFrame(list(enumerate(sizes)), "id long, size long")
-    return P.pack(df, "id", "size", cap).toPandas()
+    return P.pack(df, "id", "size", cap).placements.toPandas()
 
 
 def check(out, sizes, cap):
@@ -51,8 +51,24 @@ def test_groups_exchange(spark, monkeypatch):
 
 def test_repeated_keys_empty_and_negative(spark):
     df = spark.createDataFrame([("a", 70), ("a", 70), (None, 70), ("b", 150), ("b", 150)], "id string, size int")
-    out = P.pack(df, "id", "size", 100).toPandas()
+    out = P.pack(df, "id", "size", 100).placements.toPandas()
     assert len(out) == 7 and out.groupby("container")["size"].sum().max() <= 100
-    assert P.pack(df.limit(0), "id", "size", 100).count() == 0
+    assert P.pack(df.limit(0), "id", "size", 100).placements.count() == 0
     with pytest.raises(Exception, match="negative"):
-        P.pack(spark.createDataFrame([(1, -1)], "id int, size int"), "id", "size", 100).count()
+        P.pack(spark.createDataFrame([(1, -1)], "id int, size int"), "id", "size", 100).placements.count()
+
+
+def test_certificates(spark, monkeypatch):
+    monkeypatch.setattr(P, "GROUP_ITEMS", 100)
+    r = random.Random(3)
+    sizes = [r.randint(1, 250) for _ in range(500)] + [0, None]
+    packed = P.pack(spark.createDataFrame(list(enumerate(sizes)), "id long, size long"), "id", "size", 100)
+    placed, whole = packed.placements.dropna(subset=["container"]).toPandas(), packed.whole.collect()[0]
+    assert whole["containers"] == placed["container"].nunique() and whole["gap"] == whole["containers"] - whole["bound"] >= 0
+    assert whole["unused"] == pytest.approx(1 - placed["size"].sum() / whole["containers"] / 100)
+    groups = packed.groups.toPandas()
+    assert (groups["gap"] == groups["containers"] - groups["bound"]).all() and (groups["gap"] >= 0).all()
+    loose = placed[~placed["container"].str.startswith("full")]
+    assert groups["kept"].sum() == loose["container"].nunique() and groups[groups["round"] == 0]["n_items"].sum() == len(loose)
+    empty = P.pack(spark.createDataFrame([], "id long, size long"), "id", "size", 100)
+    assert empty.groups.count() == 0 and tuple(empty.whole.collect()[0]) == (0, 0, 0, 0.0)
