@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from quernstone.functions.expressions import company_key
 from quernstone.functions.vocabulary import EVAL_SPLITS, RETIRED_LABEL
 from quernstone.operators import bootstrap as B, metrics as M
+from quernstone.operators.delivery import blank_to_null
 from quernstone.operators.history import as_of, rate
 from quernstone.operators.samples import filled, first_per_cell, shuffled, stratified
 from quernstone.plans.ingest import cases, scratch
@@ -109,7 +110,7 @@ def resume_anti(spark: SparkSession, sf_dir: str, per_class: int = PER_CLASS) ->
 
 def missing_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delivered ids that no typed case has."""
-    raw = spark.read.parquet(f"{sf_dir}/raw_records.parquet").select(F.regexp_replace("complaint_id", r"\s+", "").alias("complaint_id")).where("complaint_id <> ''").distinct()
+    raw = spark.read.parquet(f"{sf_dir}/raw_records.parquet").select(blank_to_null(F.col("complaint_id")).alias("complaint_id")).where("complaint_id is not null").distinct()
     return raw.join(cases(spark, sf_dir).select("complaint_id"), "complaint_id", "left_anti")
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quernstone.functions.expressions import canonical_product, category_id, company_key, iso_date, label_for, present, split_for, unrecognised, yes_no
 from quernstone.functions.vocabulary import PRODUCT_LABELS, SUB_PRODUCTS
-from quernstone.operators.delivery import deduplicated
-from quernstone.operators.records import require_unique, typed, typed_or_fail
+from quernstone.operators.delivery import blank_to_null, deduplicated
+from quernstone.operators.records import require_unique, typed, typed_and_rejected
 from quernstone.plans.session import checkpoint_dir, table
 from quernstone.plans.training_core import ORDER, P7_FOUND_SQL
 from quernstone.sources.files import read_jsonl, write_jsonl, write_parquet
@@ -27,17 +27,31 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One delivery of each record id, the first."""
     rows = _raw(spark, sf_dir).select("delivery_id", "run_id", "fetched_at", "complaint_id")
-    return deduplicated(rows, "complaint_id", ORDER).where(F.trim("complaint_id") != "").select("delivery_id", "run_id", F.trim(F.regexp_replace("complaint_id", r"\s+", "")).alias("complaint_id"))
+    kept = deduplicated(rows, "complaint_id", ORDER).select("delivery_id", "run_id", blank_to_null(F.col("complaint_id")).alias("complaint_id"))
+    return kept.where(F.col("complaint_id").isNotNull())
 
 
 def coverage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct ids of each run against the number its source stated."""
-    ids = _raw(spark, sf_dir).select("run_id", F.regexp_replace("complaint_id", r"\s+", "").alias("id")).where("id <> ''").distinct()
-    got = ids.groupBy("run_id").agg(F.count("*").alias("got"))
     stats = table(spark, sf_dir, "fetch_stats").select("run_id", F.col("records").alias("expected"))
+    return coverage(_raw(spark, sf_dir), "complaint_id", stats)
+
+
+def coverage(raw: DataFrame, ident: str, stats: DataFrame) -> DataFrame:
+    """(run_id, expected, got, complete) of each run in ``stats`` (run_id, expected). White space around an id does not make it another."""
+    ids = raw.select("run_id", blank_to_null(F.col(ident)).alias("id")).where("id is not null").distinct()
+    got = ids.groupBy("run_id").agg(F.count("*").alias("got"))
     return stats.join(got, "run_id", "left").select("run_id", "expected", F.coalesce("got", F.lit(0)).alias("got"), (F.coalesce("got", F.lit(0)) == F.col("expected")).alias("complete"))
 
 
+def require_complete(checked: DataFrame) -> DataFrame:
+    """``checked`` (see ``coverage``) itself; raises when a run has other than the expected number of ids."""
+    wrong = checked.where("not coalesce(complete, false)").orderBy("run_id").limit(5).collect()
+    if wrong:
+        raise ValueError(f"runs not covered: {[(r['run_id'], r['expected'], r['got']) for r in wrong]}")
+    return checked
+
+
 def two_ended_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages read from either end of a date range overlap; their union holds each id once."""
     rows = cases(spark, sf_dir).select("complaint_id", "date_received")
@@ -47,16 +61,7 @@ def two_ended_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def typed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw deliveries as typed rows: the first of each id, of those that can be typed."""
-    first = deduplicated(_raw(spark, sf_dir), "complaint_id", ORDER)
-    return typed_or_fail(typed(first).where("problem is null").select(*first_columns()))
-
-
-def first_columns() -> list:
-    """Typed columns under their raw names again: the strict reader takes raw records."""
-    back = {"product_label": "product", "narrative": "complaint_what_happened"}
-    keep = ["complaint_id", "issue", "sub_issue", "company", "state", "zip_code", "tags", "submitted_via", "company_response", "company_public_response", "sub_product", "product_label", "narrative"]
-    dates = [F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("date_received", "date_sent_to_company")]
-    return [*[F.col(c).alias(back.get(c, c)) for c in keep], *dates, F.when(F.col("timely"), "Yes").otherwise("No").alias("timely")]
+    return typed_and_rejected(deduplicated(_raw(spark, sf_dir), "complaint_id", ORDER))[0]
 
 
 def record_problems(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,14 +49,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the one the cluster names, a private one only where none is set."""
+    """The shared folder for checkpoints: the one the cluster names. A private one only in local mode; elsewhere its absence raises."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if named is None and not is_local(context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quernstone-"))
     return context.getCheckpointDir()
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process, so that a folder of this machine is shared by all."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage through the shared folder: the result outlives the loss of any executor."""
     checkpoint_dir(df.sparkSession)
