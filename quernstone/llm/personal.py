@@ -1,9 +1,10 @@
 """Personal information in free text, found by weak supervision.
 
-Generous patterns propose spans of five kinds. Labelers look at each span from different sides: its shape, gazetteers, the words
-before and after it. Each votes for, against, or abstains. How reliable the labelers are is estimated by expectation
+Generous patterns propose spans of five kinds; names also wherever capitals stand in a row. Labelers look at each span from
+different sides: its shape, gazetteers, the words before and after it. Each votes for, against, or abstains. How reliable the labelers are is estimated by expectation
 maximisation over the vote patterns of all spans, counted over the whole corpus. The posteriors so gained train the final span
-classifier, a logistic model over votes, shape and neighbouring words, on a bounded sample; it decides every span.
+classifier, a logistic model over votes, shape and neighbouring words, on a bounded sample; it decides every span. What words
+stand around the details of a corpus is learned there; the lists below hold general English only.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quernstone.llm.names import describing
 from quernstone.plans.session import checkpointed
 
 KINDS = ["email", "phone", "identity_number", "street_address", "person_name"]
-#: Spans on which the final classifier is fitted at most: those with the least hashes.
+#: Spans on which the final classifier is fitted, about: those whose hash lies below a threshold worked out from their number.
 SAMPLE = 20_000
 #: Buckets of the classifier's features.
 BUCKETS = 1 << 12
@@ -43,6 +45,7 @@ COMMON = frozenset(
     does during each early either even every everyone for from gave had has have he help her him his home hung i if in into is it its just kindly last late
     least left me mine more my neither nobody nor not now of off on once one or our out over paid please regards right send she shortly signed since
     sincerely so some somebody someone ssn state tel text that thank thanks the their them then there these they this those though to today took two under until up us
+    always often never already soon later went saw said says told got paid made knew thought wanted needed lives works wrote took lost found kept moved first second third new old same other very well
     was we were what when where which while who whose why will with within without would yes you your yours xxxx""".split()
 )
 # What streets end in, and titles before names.
@@ -66,21 +69,29 @@ _INITIAL = re.compile(r"\b[A-Z]\. [A-Z][\w'\-]+ [a-z]")
 _TOKEN = re.compile(rf"{_W}(?:['’\-]?{_W})*")
 
 _NAME_LEFT = re.compile(
-    r"(?:my (?:late )?(?:mother|father|husband|wife|son|daughter|brother|sister|uncle|aunt|friend|neighbor|landlady|landlord)|called (?:him|her)self|(?:supervisor|agent|clerk|manager|man|woman|person|teller) (?:called|named)|spoke (?:with|to)|talked to|(?:transfer|payment|money) went to|letter is from|(?:check|cheque) was made out to|ask for|my name is|name on the (?:slip|account) is|payee on the slip is|signed:|signed by|regards\s?[\-,:]|sincerely,|told by|attention:|attn:?|dear)\s+(?:(?:mr|mrs|ms|miss|dr)\b\.?\s+)?"
+    r"(?:my (?:late )?(?:mother|father|husband|wife|son|daughter|brother|sister|uncle|aunt|cousin|friend|neighbor|landlady|landlord|roommate)|called (?:him|her)self|(?:supervisor|agent|clerk|manager|representative|man|woman|person|teller) (?:called|named)|(?:spoke|talked|dealt|met) (?:with|to)|went to|letter is from|made out to|ask(?:ed)? for|name is|name on the \w+ is|payee on the \w+ is|signed:|signed by|regards\s?[\-,:]|sincerely,|told by|attention:|attn:?|dear|met)\s+(?:(?:mr|mrs|ms|miss|dr)\b\.?\s+)?"
 )
 # Every pattern of _NAME_LEFT and _NAME_TITLE ends in one of these.
-_CUE_ENDS = """ mother| father| husband| wife| son| daughter| brother| sister| uncle| aunt| friend| neighbor| landlady| landlord|himself|herself| called| named|spoke with|spoke to|talked to|went to|letter is from|made out to|
-ask for|name is|slip is|account is|signed:|signed by|regards|sincerely,|told by|attention:|attn|dear|mr.|mrs.|ms.|dr.|prof.|mr |mrs |ms |miss |dr |sir """.replace("\n", "").split("|")
-_NAME_RIGHT = re.compile(r"[\s]*(?:signed the|took (?:the|notes)|who (?:took|said|told|promised)|held the account|is on the account|promised a|hung up|from the [a-z]+ (?:desk|office|team)|in (?:claims|the back office)|by mistake|to wait)\b")
+_CUE_ENDS = """ mother| father| husband| wife| son| daughter| brother| sister| uncle| aunt| cousin| friend| neighbor| landlady| landlord| roommate|himself|herself| called| named|spoke with|spoke to|talked with|talked to|dealt with|met with|went to|letter is from|made out to|
+ask for|asked for| is|signed:|signed by|regards|sincerely,|told by|attention:|attn|dear| met|mr.|mrs.|ms.|dr.|prof.|mr |mrs |ms |miss |dr |sir """.replace("\n", "").split("|")
+_NAME_RIGHT = re.compile(r"[\s]*(?:who )?(?:said|says|told|tells|took|takes|promised|promises|signed|asked|answered|called|wrote|refused|explained|helped|hung|works|worked|held|picked|spoke|claimed|insisted|apologi[sz]ed|from the \w+ (?:desk|office|team|department|branch))\b")
+# Words after which capitals in a row are rather a person, or rather a place or firm.
+_PERSON_BEFORE = frozenset("met with by to and asked told called named contacted emailed thank saw dear".split())
+_PLACE_BEFORE = frozenset("at from in near of on via through inside outside the a an this that your our using".split())
+_UPPER, _LOWER = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĘĚĞİŁŃŇŐŘŚŞŠŢŤŮŰŹŻŽ", "a-zß-öø-ÿāăąćĉċčďđēęěğıłńňőřśşšţťůűźżž"
+_CAPITALS = re.compile(rf"(?<![\w@.&'’\-])[{_UPPER}][{_LOWER}]+(?:[\-'’][{_UPPER}][{_LOWER}]+)? (?:[{_UPPER}]\. )?(?:[{_UPPER}]['’])?[{_UPPER}][{_LOWER}]+(?:\-[{_UPPER}][{_LOWER}]+)?(?![\w@&'’\-]| &)")
+_SENTENCE = re.compile(r"(?:^|[.!?:]\s*|\n\s*)$")
+# Capitalised words that are no names.
+_CALENDAR = frozenset("january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday christmas thanksgiving easter".split())
 _NAME_TITLE = re.compile(rf"(?<![^\W_])(?:{'|'.join(TITLES)})\b\.?\s+")
 _NAME_LEFT_END = re.compile(f"(?:{_NAME_LEFT.pattern}|{_NAME_TITLE.pattern})$")
-_PHONE_LEFT = re.compile(r"(?:call(?: me)?(?: on| at)?|ring(?: me)?|phone|ph|tel|cell(?: is)?|mobile|reached at|callback|text(?:ed)?(?: the code)?(?: to| came from)?|came from|caller used|picks up at|alert listed|fax|i left|number is|line is|dial|contact)[\s:.(#]*$")
-_PHONE_RIGHT = re.compile(r"[\s)]*(?:as a callback|is the line|after work|at night|before noon|if you need|any more|as mine|and sounded|which is my (?:old )?line)\b")
+_PHONE_LEFT = re.compile(r"(?:call(?:ed)?(?: me)?(?: back)?(?: on| at)?|ring(?: me)?|phone|ph|tel|cell(?: is)?|mobile|reached at|callback|text(?:ed)?(?: the code)?(?: to| came from)?|came from|caller used|listed|fax|i left|number is|line is|dial|contact)[\s:.(#]*$")
+_PHONE_RIGHT = re.compile(r"[\s)]*(?:as a callback|is (?:the|my|a|our) (?:\w+ )?(?:line|number|phone|cell)|after work|at night|before noon|in the (?:morning|evening)|any ?time|if you)\b")
 _OTHER_LEFT = re.compile(r"(?:ticket|order|case|case number|carries number|(?:carries|case) \w+|reference|ref|item|account|acct|card|part|section|invoice|tracking|policy|plan|case really number|confirmation)(?: number| no| ending in)?[\s.:#]*$")
-_IDENTITY_LEFT = re.compile(r"(?:\bssn|\bss ?#|social(?: security)?(?: number| no| #)?|taxpayer(?: id| number)?|\bi?tin|passport(?: no| number)?|licen[cs]e(?: no| number)?|state id(?: no| number)?|tax id|line with|they read)[\s.,:#]*(?:is |was )?$")
-_IDENTITY_RIGHT = re.compile(r"[\s,)]*(?:back to me )?as (?:my|the) social\b|[\s,]*before saying a word|[\s,]*was (?:refused|scanned|copied|printed)|[\s,]*sits in|[\s,]*next to my")
-_HOME_LEFT = re.compile(r"(?:live at|lives at|mailed to|shipped to|moved from|came to|address:?(?: is)?|home is|still show|statement shows|check to|reside at|resident at|send it to|deliver(?:ed)? to)\s*$")
-_HOME_RIGHT = re.compile(r"[\s\w,.#]{0,60}?(?:is where my mail|where i have not lived|as my residence|asking for me|in the summer|which i do not know|not the one on file)")
+_IDENTITY_LEFT = re.compile(r"(?:\bssn|\bss ?#|social(?: security)?(?: number| no| #)?|taxpayer(?: id| number)?|\bi?tin|passport(?: no| number)?|licen[cs]e(?: no| number)?|state id(?: no| number)?|tax id)[\s.,:#]*(?:is |was )?$")
+_IDENTITY_RIGHT = re.compile(r"[\s,)]*(?:back to me )?as (?:my|the) social\b|[\s,]*(?:is|was) (?:my (?:social|ssn|passport|licen[cs]e)|refused|scanned|copied|printed)")
+_HOME_LEFT = re.compile(r"(?:live at|lives at|lived at|mailed to|shipped to|moved (?:from|to)|came to|address:?(?: is)?|home is|shows?|check to|reside at|resident at|send it to|deliver(?:ed)? to|house at)\s*$")
+_HOME_RIGHT = re.compile(r"[\s\w,.#]{0,60}?(?:is where (?:i|we|my)|where (?:i|we|my))\b")
 
 
 def _lowered(text: str) -> str:
@@ -122,8 +133,25 @@ def _names(text: str, low: str, taken: list[tuple[int, int]]) -> Iterator[tuple[
     """Spans that may be names: from a given name or after a cue, to one family name at most."""
     mixed = text != low
     cues, given_name = _cues(text, low, mixed)
-    if not cues and not given_name and not _INITIAL.search(text):
+    found: list[tuple[int, int]] = []
+    if cues or given_name or _INITIAL.search(text):
+        yield from _near_cues(text, low, taken, mixed, cues, found)
+    if not mixed or text.isupper():
         return
+    for m in _CAPITALS.finditer(text):
+        words, behind = _WORDS.findall(m.group().lower()), _WORDS.match(low, m.end() + 1)
+        if any(a < m.end() and m.start() < b for a, b in [*taken, *found]) or any(w in COMMON or w in _CALENDAR or w in STREETS or w in TITLES or _organisation(w) for w in words):
+            continue
+        if behind and (_organisation(behind.group()) or behind.group() in STREETS):
+            continue
+        # what begins a sentence is capital anyway: there only what people do speaks for a name
+        if _SENTENCE.search(text[max(0, m.start() - 8) : m.start()]) and not _NAME_RIGHT.match(low, m.end()):
+            continue
+        yield m.start(), m.end()
+
+
+def _near_cues(text: str, low: str, taken: list[tuple[int, int]], mixed: bool, cues: set[int], found: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Those that begin with a given name or after a cue; they are kept in ``found`` too."""
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
     n, last = len(tokens), -1
 
@@ -167,16 +195,24 @@ def _names(text: str, low: str, taken: list[tuple[int, int]]) -> Iterator[tuple[
                     break
                 else:
                     break
+        if not given and j + 1 < n and gap(j) == " " and _organisation(low[tokens[j + 1][0] : tokens[j + 1][1]]):
+            i = j + 1
+            continue
         start = s
         if given and i > 0 and gap(i - 1) == ", " and family(i - 1) and end == e and tokens[i - 1][0] in cues:
             start = tokens[i - 1][0]
         elif given and i > 0 and text[s - 2 : s] == ", " and family(i - 1) and _NAME_RIGHT.match(low[e : e + 40]) and (i < 2 or gap(i - 2) not in (" ",)):
             start = tokens[i - 1][0]
+        found.append((start, end))
         yield start, end
         last = end
         i = max(j, i) + 1
 
 
+def _organisation(word: str) -> bool:
+    return word in _FIRMS or describing(word) is not None
+
+
 @dataclass(frozen=True)
 class Span:
     kind: int
@@ -194,14 +230,17 @@ def _digits(s: str) -> str:
     return re.sub(r"\D", "", s)
 
 
+def _last_word(before: str) -> str:
+    return m.group(1) if (m := re.search(r"([^\W\d_]+) $", before)) else ""
+
+
 # Labelers by kind: each sees (span, before, after), all lower case, 48 characters on either side; original span last.
 _Labeler = Callable[[str, str, str, str], int]
 LABELERS: dict[str, list[_Labeler]] = {
     "email": [
         lambda s, b, a, o: _vote("@" in s or "at)" in s or "at]" in s, " at " in s and " dot " not in s),
         lambda s, b, a, o: _vote(re.search(r"(?:\.|dot\W*)[a-z]{2,8}$", s), not re.search(r"[a-z]$", s)),
-        lambda s, b, a, o: _vote(re.search(r"(?:contact|cc|write to|notice went to|login (?:with|on record is)|signed up with|forward the file to|messages is|codes to|e-?mail\w*|replaced my login with)\W*$", b)),
-        lambda s, b, a, o: _vote(re.match(r"\W*(?:is where i read|years ago|with an answer|instead of|although i changed|and nobody can reset)", a)),
+        lambda s, b, a, o: _vote(re.search(r"(?:contact|cc|to|with|is|at|e-?mail\w*|address)\W*$", b)),
     ],
     "phone": [
         lambda s, b, a, o: _vote(len(_digits(s)) in (10, 11, 12) and re.search(r"[()+]", s) or re.search(r"\d{3}[ .\-/]\d{3}[ .\-]\d{4}$", s), len(_digits(s)) < 7),
@@ -221,14 +260,13 @@ LABELERS: dict[str, list[_Labeler]] = {
     ],
     "street_address": [
         lambda s, b, a, o: _vote(not any(w in COMMON for w in re.findall(r"[a-z]+", s)[:-1]), True),
-        lambda s, b, a, o: _vote(_HOME_LEFT.search(b)),
-        lambda s, b, a, o: _vote(_HOME_RIGHT.match(a)),
+        lambda s, b, a, o: _vote(_HOME_LEFT.search(b) or _HOME_RIGHT.match(a)),
         lambda s, b, a, o: _vote(re.match(r"\W*(?:apt|unit|suite|ste|#)|,\s+[a-z ]+,\s+[a-z]{2}\s+\d{5}", a)),
         lambda s, b, a, o: _vote(re.search(r"[A-Z]", o) and all(w[0].isupper() for w in re.findall(r"[A-Za-z]{2,}", o)), re.search(r"\b(?:days|weeks|dollars|charges|minutes|hours|times|percent|plan)\b", s)),
     ],
     "person_name": [
         lambda s, b, a, o: _vote(re.split(r"[\s.,]+", s)[0] in GIVEN or re.split(r"[\s,]+", s)[-1] in GIVEN),
-        lambda s, b, a, o: _vote(_NAME_LEFT_END.search(b)),
+        lambda s, b, a, o: _vote(_NAME_LEFT_END.search(b) or _last_word(b) in _PERSON_BEFORE, _last_word(b) in _PLACE_BEFORE),
         lambda s, b, a, o: _vote(_NAME_RIGHT.match(a), re.match(r" (?:at table|period|account|bank|wallet|street|st|lane|road|clerk|charged)\b", a)),
         lambda s, b, a, o: _vote(len(re.findall(r"[^\W\d_]{2,}", s)) >= 2),
         lambda s, b, a, o: _vote(o[:1].isupper() and not o.isupper(), re.match(r"^(?:the|this|that|your|our)\b", s) or o[:1].islower() and len(s) < 4),
@@ -245,7 +283,7 @@ def _bucket(s: str) -> int:
 
 
 def _features(kind: int, s: str, before: str, after: str, original: str, votes: tuple[int, ...]) -> list[int]:
-    left, right = re.findall(r"[^\W\d_]+|[#:$(]", before)[-2:], re.findall(r"[^\W\d_]+|[):]", after)[:2]
+    left, right = re.findall(r"[^\W\d_]+|[#:$(]", before)[-3:], re.findall(r"[^\W\d_]+|[):]", after)[:3]
     shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "9", s)))[:12]
     named = [f"v{i}{v}" for i, v in enumerate(votes) if v] + [f"l{w}" for w in left] + [f"r{w}" for w in right] + [f"s{shape}", f"n{min(3, len(s.split()))}", f"u{original[:1].isupper()}", "1"]
     return [_bucket(f"{kind}{x}") for x in named]
@@ -323,7 +361,7 @@ def _fit(features: list[list[int]], y: np.ndarray, steps: int = 300) -> np.ndarr
     return w
 
 
-_CANDIDATES = "id {kind}, kinds array<int>, starts array<int>, patterns array<int>, features array<array<int>>"
+_CANDIDATES = "id {kind}, kinds array<int>, starts array<int>, ends array<int>, patterns array<int>, features array<array<int>>"
 
 
 def propose(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -335,8 +373,8 @@ def propose(df: DataFrame, key: str, text: str) -> DataFrame:
             some = pa.array([bool(s) for s in spans])
             spans = [s for s in spans if s]
             ints = pa.list_(pa.int32())
-            columns = [pa.array([[x.kind for x in s] for s in spans], ints), pa.array([[x.start for x in s] for s in spans], ints), pa.array([[_pattern(x.votes) for x in s] for s in spans], ints), pa.array([[x.features for x in s] for s in spans], pa.list_(ints))]
-            yield pa.RecordBatch.from_arrays([batch.column("id").filter(some), *columns], names=["id", "kinds", "starts", "patterns", "features"])
+            columns = [pa.array([[x.kind for x in s] for s in spans], ints), pa.array([[x.start for x in s] for s in spans], ints), pa.array([[x.end for x in s] for s in spans], ints), pa.array([[_pattern(x.votes) for x in s] for s in spans], ints), pa.array([[x.features for x in s] for s in spans], pa.list_(ints))]
+            yield pa.RecordBatch.from_arrays([batch.column("id").filter(some), *columns], names=["id", "kinds", "starts", "ends", "patterns", "features"])
 
     return df.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, _CANDIDATES.format(kind=dict(df.dtypes)[key]))
 
@@ -351,21 +389,25 @@ def train(proposed: DataFrame) -> np.ndarray:
     for k, c in counts.items():
         posts, _ = reliabilities(c, len(LABELERS[KINDS[k]]))
         posterior |= {(k, p): v for p, v in posts.items()}
-    # distinct spans in order of a hash: the sample does not depend on how rows are stored
-    rows = each.groupBy("kinds", "patterns", "features").agg(F.count("*").alias("n")).orderBy(F.xxhash64("kinds", "patterns", "features")).limit(SAMPLE).collect()
+    # by a threshold of a hash, so that about SAMPLE rows in all reach the driver, the same ones however rows are stored
+    unit = F.xxhash64("kinds", "patterns", "features").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    distinct = each.agg(F.approx_count_distinct(unit, 0.02).alias("n")).first()["n"]
+    share = min(1.0, SAMPLE / max(distinct, 1))
+    rows = each.where(unit < share).select("kinds", "patterns", "features").distinct().collect()
+    rows.sort()
     if not rows:
         return np.zeros(BUCKETS)
     return _fit([r["features"] for r in rows], np.array([posterior[r["kinds"], r["patterns"]] for r in rows]))
 
 
-def accepted(kinds: list[int], starts: list[int], features: list[list[int]], weights: np.ndarray) -> list[int]:
-    """Positions of the spans that are taken: likely ones, and of two with one start the likelier."""
+def accepted(starts: list[int], ends: list[int], features: list[list[int]], weights: np.ndarray) -> list[int]:
+    """Positions of the spans that are taken: likely ones, and of those that overlap the likelier, at equal chance the earlier."""
     score = [float(weights[f].sum()) for f in features]
-    best: dict[int, int] = {}
-    for i, z in enumerate(score):
-        if z > 0 and (starts[i] not in best or z > score[best[starts[i]]]):
-            best[starts[i]] = i
-    return sorted(best.values())
+    taken: list[int] = []
+    for i in sorted((i for i, z in enumerate(score) if z > 0), key=lambda i: (-score[i], starts[i], i)):
+        if all(ends[i] <= starts[j] or ends[j] <= starts[i] for j in taken):
+            taken.append(i)
+    return sorted(taken, key=lambda i: starts[i])
 
 
 def find(df: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray]:
@@ -381,8 +423,8 @@ def find(df: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, kind, start = [], [], []
-            for i, (k, s, f) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("kinds", "starts", "features")))):
-                for j in accepted(k, s, f, shared.value):
+            for i, (k, s, e, f) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("kinds", "starts", "ends", "features")))):
+                for j in accepted(s, e, f, shared.value):
                     row.append(i)
                     kind.append(KINDS[k[j]])
                     start.append(s[j])
@@ -396,7 +438,7 @@ def redacted(text: str | None, weights: np.ndarray) -> str | None:
     if not text:
         return text
     spans = candidates(text)
-    keep = accepted([s.kind for s in spans], [s.start for s in spans], [s.features for s in spans], weights)
+    keep = accepted([s.start for s in spans], [s.end for s in spans], [s.features for s in spans], weights)
     out, at = [], 0
     for s in (spans[i] for i in keep):
         if s.start >= at:
