@@ -28,7 +28,7 @@ def stars():
     ],
 )
 def test_spellings(stars, text, own, want):
-    found = [ids for _, ids in stars.mentions(text)]
+    found = [ids for _, ids, guess in stars.mentions(text) if not guess]
     assert {i for ids in found for i in (ids if len(ids) == 1 else {own} & {*ids})} == want
 
 
@@ -41,12 +41,12 @@ def test_one_slip_meets_with_the_stated_recall(stars):
 
     r, met, n = random.Random(4), 0, 0
     for core in stars.by_core:
-        for _ in range(40):
+        for _ in range(600):
             i = r.randrange(1, len(core) - 1)
             slip = r.choice([core[:i] + core[i + 1 :], core[:i] + "q" + core[i:], core[:i] + core[i + 1] + core[i] + core[i + 2 :]])
             n += 1
-            met += core in stars.nearest(slip)[1] or slip in stars.by_core
-    assert met / n >= 0.97
+            met += any(set(stars.targets[t]) & stars.by_core[core] for t in stars.nearest(slip)[1])
+    assert met / n >= N.RECALL - 0.001
 
 
 def test_in_spark(spark):
@@ -64,3 +64,21 @@ def test_shared_spelling_goes_where_most_records_point(spark):
     df = spark.createDataFrame(rows, "id string, text string, own string")
     got = {(r["id"], r["cid"]) for r in N.link(df, "id", "text", "own", firms, "cid", "name", "aliases").collect()}
     assert got == {(f"b{i}", "B") for i in range(5)} | {("c", "B"), ("x", "B"), ("y", "C"), ("w", "C"), ("z", "C")}
+
+
+@pytest.mark.parametrize("ending", ["", "ers", "kins", "quay", "y"])
+def test_a_nickname_of_any_ending_is_learned_from_the_records(spark, ending):
+    firms = spark.createDataFrame(FIRMS, "cid string, name string, aliases array<string>")
+    nick = "Tarn" + ending
+    rows = [(f"d{i}", f"they at {nick} lost it", "D") for i in range(4)] + [("o", f"the {nick.lower()} people", "A"), ("n", "the tarnished ring", "A"), ("m", "a tarnished coin", "D")]
+    df = spark.createDataFrame(rows, "id string, text string, own string")
+    got = {(r["id"], r["cid"]) for r in N.link(df, "id", "text", "own", firms, "cid", "name", "aliases").collect()}
+    assert got == {(f"d{i}", "D") for i in range(4)} | {("o", "D")}
+
+
+def test_plain_initials_are_learned_from_the_records(spark):
+    firms = spark.createDataFrame(FIRMS, "cid string, name string, aliases array<string>")
+    rows = [(f"c{i}", "The SFCU says no", "C") for i in range(3)] + [("o", "my sister left SFCU", "A"), ("n", "the SFX team", "C"), ("once", "The SNB did", "B")]
+    df = spark.createDataFrame(rows, "id string, text string, own string")
+    got = {(r["id"], r["cid"]) for r in N.link(df, "id", "text", "own", firms, "cid", "name", "aliases").collect()}
+    assert got == {(f"c{i}", "C") for i in range(3)} | {("o", "C")}
