@@ -7,8 +7,8 @@ abbreviated or reordered) belong to the mention. Mentions are verified against t
 star they are most like. What stays equally like to several stars is decided by the entity the record itself names, or not at all.
 
 Short forms that no alias records (nicknames: the beginning of a name with any ending; initials, with or without letters from
-within the name) are learned: a word that could be one is linked to an entity only if most records with the word are that
-entity's own, counted over all records.
+within the name) are learned: a word that could be one is linked to an entity only if it stands in that entity's own records far
+more often than elsewhere, counted over all records.
 """
 
 from __future__ import annotations
@@ -36,6 +36,9 @@ MENTIONED = 0.75
 #: Least number of records, and share, in which a spelling that could stand for several entities, or a short form that no alias
 #: records, stands for the record's own.
 LEAST_VOTES, LEAST_SHARE = 2, 0.5
+#: How many times as often a short form must stand in its entity's own records as records are that entity's at all; twice is
+#: enough where most records with it are the entity's.
+LEAST_LIFT = 10
 #: Entities whose names are broadcast at most.
 MOST_ENTITIES = 200_000
 #: Words whose look-up a worker remembers before it starts afresh.
@@ -331,8 +334,8 @@ def link(df: DataFrame, key: str, text: str, own: str, entities: DataFrame, enti
 
     ``own``: column with the entity of the record itself, which may be null. A spelling that several entities share equally goes to
     the one for which it stands in most records of those entities themselves, counted over all records; failing that to the
-    record's own, if it is among them, or to nobody. An unrecorded short form goes to the entity that owns most of all records with
-    the word, or to nobody. ``entities`` is a table of fixed size (more than ``MOST_ENTITIES`` rows
+    record's own, if it is among them, or to nobody. An unrecorded short form goes to the entity in whose own records it stands far
+    more often than elsewhere, or to nobody. ``entities`` is a table of fixed size (more than ``MOST_ENTITIES`` rows
     raise); null names and aliases know no spelling, repeated ones count once. Null and empty texts name nobody. Null keys are
     a key. Empty tables give no rows.
     """
@@ -360,10 +363,16 @@ def link(df: DataFrame, key: str, text: str, own: str, entities: DataFrame, enti
     mentioned = checkpointed(mentioned.withColumn("word", F.lower("spelling")))
     unsure = mentioned.where("size(ids) > 1 or guess")
     fits = lambda c: F.when(F.array_contains("ids", F.col(c)), F.col(c))
-    # per spelling and entity: partial sums, then a row for each entity that a spelling could stand for
+    # per spelling and entity: partial sums, then a row for each entity that a spelling could stand for (null: records of others)
     votes = unsure.groupBy("word", "guess", fits("own").alias("own")).agg(F.count("*").alias("n"))
-    learned = votes.groupBy("word", "guess").agg(F.max(F.when(F.col("own").isNotNull(), F.struct("n", "own"))).alias("best"), F.sum(F.when(F.col("own").isNotNull() | F.col("guess"), F.col("n"))).alias("total"))
-    learned = learned.where((F.col("best.n") >= LEAST_VOTES) & (F.col("best.n") > LEAST_SHARE * F.col("total"))).select("word", "guess", F.col("best.own").alias("voted"))
+    learned = votes.groupBy("word", "guess").agg(F.max(F.when(F.col("own").isNotNull(), F.struct("n", "own"))).alias("best"), F.sum(F.when(F.col("own").isNotNull(), F.col("n"))).alias("likely"), F.sum("n").alias("total"))
+    learned = learned.where((F.col("best.n") >= LEAST_VOTES) & (F.col("best.n") > LEAST_SHARE * F.col("likely")))
+    # a short form is told from an ordinary word by standing in its entity's records far more often than in others
+    owners = df.where(F.col(own).isNotNull()).groupBy(F.col(own).cast("string").alias("voted")).agg(F.count("*").alias("owned"))
+    everything = df.where(F.col(own).isNotNull()).count()
+    learned = learned.select("word", "guess", F.col("best.own").alias("voted"), F.col("best.n").alias("n"), "total").join(owners, "voted")
+    lift = F.col("n") * everything / (F.col("total") * F.col("owned"))
+    learned = learned.where(~F.col("guess") | (lift >= LEAST_LIFT) | (F.col("n") > LEAST_SHARE * F.col("total")) & (lift >= 2)).select("word", "guess", "voted")
     # a row per spelling; a popular one may have many mentions, which AQE then splits
     decided = unsure.join(learned, ["word", "guess"], "left")
     decided = decided.select("id", F.coalesce(fits("voted"), F.when(~F.col("guess"), fits("own"))).alias("entity"), "spelling").where("entity is not null")

@@ -129,10 +129,13 @@ def _cues(text: str, low: str, mixed: bool) -> tuple[set[int], bool]:
     return cues, given
 
 
-def _names(text: str, low: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+def _names(text: str, low: str, taken: list[tuple[int, int]], streets: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """Spans that may be names: from a given name or after a cue, to one family name at most."""
     mixed = text != low
     cues, given_name = _cues(text, low, mixed)
+    if streets:  # "Vesper Dr" is no title, and what belongs to an address is no name
+        cues = {c for c in cues if not any(a < c <= b + 2 for a, b in streets)}
+        taken = [*taken, *streets]
     found: list[tuple[int, int]] = []
     if cues or given_name or _INITIAL.search(text):
         yield from _near_cues(text, low, taken, mixed, cues, found)
@@ -307,7 +310,8 @@ def candidates(text: str | None) -> list[Span]:
             for k, pattern in ((1, _PHONE), (2, _NUMBER)):
                 matches |= {(k, m.start(), m.end()) for m in pattern.finditer(text, max(0, long.start() - 4), long.end() + 12)}
         found += [x for x in matches if not any(a < x[2] and x[1] < b for a, b in taken)]
-    found += [(4, s, e) for s, e in _names(text, low, taken)]
+    streets = [(s, e) for k, s, e in found if k == 3]
+    found += [(4, s, e) for s, e in _names(text, low, taken, streets)]
     out = []
     for k, start, end in sorted(found, key=lambda x: (x[1], x[0])):
         core = end

@@ -72,6 +72,7 @@ def test_a_nickname_of_any_ending_is_learned_from_the_records(spark, ending):
     nick = "Tarn" + ending
     rows = [(f"d{i}", f"they at {nick} lost it", "D") for i in range(4)] + [("o", f"the {nick.lower()} people", "A"), ("n", "the tarnished ring", "A"), ("m", "a tarnished coin", "D")]
     df = spark.createDataFrame(rows, "id string, text string, own string")
+    df = df.unionAll(spark.range(200).selectExpr("concat('x', id)", "'nothing'", "'A'"))
     got = {(r["id"], r["cid"]) for r in N.link(df, "id", "text", "own", firms, "cid", "name", "aliases").collect()}
     assert got == {(f"d{i}", "D") for i in range(4)} | {("o", "D")}
 
@@ -80,5 +81,6 @@ def test_plain_initials_are_learned_from_the_records(spark):
     firms = spark.createDataFrame(FIRMS, "cid string, name string, aliases array<string>")
     rows = [(f"c{i}", "The SFCU says no", "C") for i in range(3)] + [("o", "my sister left SFCU", "A"), ("n", "the SFX team", "C"), ("once", "The SNB did", "B")]
     df = spark.createDataFrame(rows, "id string, text string, own string")
+    df = df.unionAll(spark.range(200).selectExpr("concat('x', id)", "'nothing'", "'A'"))
     got = {(r["id"], r["cid"]) for r in N.link(df, "id", "text", "own", firms, "cid", "name", "aliases").collect()}
     assert got == {(f"c{i}", "C") for i in range(3)} | {("o", "C")}

@@ -19,6 +19,7 @@ CASES = [
     ("I met Priyanka Chatterjee at the branch.", [("person_name", "Priyanka Chatterjee")]),
     ("Please ask for Bohdan Zelenko tomorrow. I emailed Wei-Ling Zhang twice.", [("person_name", "Bohdan Zelenko"), ("person_name", "Wei-Ling Zhang")]),
     ("I bought it at Green Valley. I paid from Elmwood Heights. I met with Harrow Lakeside Bank in May.", []),
+    ("We moved from 87 Vesper Dr apt. 909 in the summer. Two men came to 8699 Vesper Dr asking for me.", [("street_address", "87 Vesper"), ("street_address", "8699 Vesper")]),
     ("My name is Tullombe, Ingrid. my son saw it. My mother never had this.", [("person_name", "Tullombe, Ingrid")]),
 ]
 
