@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.plans import deciders, evaluation, ingest, profile, textual, training_core
+from quernstone.plans import deciders, evaluation, ingest, links, profile, textual, training_core
 
-MODULES = [training_core, ingest, profile, evaluation, textual, deciders]
+MODULES = [training_core, ingest, profile, evaluation, textual, links, deciders]
 FLAGSHIP = "frontier"
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
+import json
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -25,3 +29,20 @@ def write_parquet(df: DataFrame, path: str) -> None:
     if df.isEmpty():
         raise ValueError("nothing to write")
     df.write.option("compression", "zstd").parquet(path)
+
+
+#: Rows that a sample file holds at most; it is written by the driver.
+MOST_SAMPLED = 50_000
+
+
+def write_sample(df: DataFrame, key: str, path: str) -> int:
+    """A small sample as one gzipped file of JSON lines, by ``key`` as a number; returns its rows.
+
+    The same rows give the same bytes: keys are sorted and the file's time is left out. More than ``MOST_SAMPLED`` rows raise.
+    """
+    rows = df.orderBy(F.col(key).cast("decimal(38, 0)"), key).limit(MOST_SAMPLED + 1).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false", **_TIMES}).alias("line")).collect()
+    if len(rows) > MOST_SAMPLED:
+        raise ValueError("too many rows for a sample file")
+    lines = [json.dumps(json.loads(r["line"]), ensure_ascii=False, sort_keys=True) for r in rows]
+    Path(path).write_bytes(gzip.compress("".join(f"{x}\n" for x in lines).encode(), mtime=0))
+    return len(rows)
