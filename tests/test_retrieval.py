@@ -59,6 +59,26 @@ def test_similar_equals_brute_force(spark):
     assert dict(got) == want
 
 
+def test_similar_in_blocks_and_slices_makes_no_row_of_a_term(spark, monkeypatch):
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    corpus = [("a", f"{i:03d}", f"2024-01-{1 + r.randrange(28):02d}", " ".join(r.choice(words) for _ in range(9))) for i in range(200)]
+    corpus += [("a", f"c{i:02d}", "2024-01-01", corpus[5][3].upper() + " w1" * (i % 3)) for i in range(60)]  # many near copies: the walk goes far down
+    queries = [*corpus[:40:2], ("a", "zz", "2024-02-01", corpus[5][3] + " w2"), ("a", "none", "2024-02-01", None)]
+    for name, value in {"SLICE": 9, "COLUMNS": 7, "CELLS": 64, "STEP": 50, "FIRST": 2}.items():
+        monkeypatch.setattr(R, name, value)
+    schema = "g string, id string, day string, text string"
+    for k in (2, 5):
+        df = R.similar(spark.createDataFrame(corpus, schema), spark.createDataFrame(queries, schema), "g", "id", "day", "text", F.upper("text"), k)
+        got = defaultdict(list)
+        for row in df.orderBy("query", "rank").collect():
+            got[row["query"]].append(row["neighbour"])
+        upper = [[(g, i, d, t and t.upper()) for g, i, d, t in rows if t] for rows in (corpus, queries)]
+        assert dict(got) == {q: v for q, v in brute(*upper, k).items() if v}
+    monkeypatch.setattr(F, "explode", None)
+    R.similar(spark.createDataFrame(corpus, schema), spark.createDataFrame(queries, schema), "g", "id", "day", "text", F.upper("text"), 2)
+
+
 def test_as_of_leaves_out_the_same_day_and_nulls(spark):
     rows = [("a", "2024-01-01", 1), ("a", "2024-01-01", 1), ("a", "2024-01-03", 1), ("b", "2024-01-02", 1), (None, "2024-01-02", 1)]
     df = spark.createDataFrame(rows, "e string, d string, v int")
