@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quernstone.functions.expressions import fingerprint
@@ -10,6 +11,7 @@ from quernstone.operators import retrieval as R
 from quernstone.operators.history import as_of
 from quernstone.operators.masking import mask, mentions_own
 from quernstone.operators.samples import stratified
+from quernstone.plans import textual
 
 
 def terms(text):
@@ -79,6 +81,15 @@ def test_similar_in_blocks_and_slices_makes_no_row_of_a_term(spark, monkeypatch)
     R.similar(spark.createDataFrame(corpus, schema), spark.createDataFrame(queries, schema), "g", "id", "day", "text", F.upper("text"), 2)
 
 
+def test_similar_to_shuffles_no_terms(spark, sf_dir):
+    got = textual.similar_to(spark, sf_dir)
+    assert "Generate" not in got._jdf.queryExecution().toString()
+    asked = {r["complaint_id"] for r in textual.cases(spark, sf_dir).select("complaint_id").collect() if int(r["complaint_id"]) % textual.EVERY == 0}
+    rows = got.collect()
+    assert rows and {r["query"] for r in rows} <= asked and all(0.1 <= r["similarity"] < 1.000000001 for r in rows)
+    assert sorted(R._product((np.array([1, 4, 9]), np.array([1.0, 2.0, 3.0])), b) for b in [(np.array([4, 5]), np.array([10.0, 7.0])), (np.array([], int), np.array([]))]) == [0.0, 20.0]
+
+
 def test_as_of_leaves_out_the_same_day_and_nulls(spark):
     rows = [("a", "2024-01-01", 1), ("a", "2024-01-01", 1), ("a", "2024-01-03", 1), ("b", "2024-01-02", 1), (None, "2024-01-02", 1)]
     df = spark.createDataFrame(rows, "e string, d string, v int")
