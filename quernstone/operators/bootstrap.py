@@ -7,6 +7,8 @@ into a multiplicity for each row, so nothing of size draws * n is shuffled.
 from __future__ import annotations
 
 import hashlib
+import math
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,15 +19,64 @@ from pyspark.sql import DataFrame
 MOST = 10_000_000
 
 
+#: MD5: how far each step turns, and what it adds.
+_TURNS = [t for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for t in four * 4]
+_ADDED = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_CHUNK = 8192
+
+
+def _heads(words: list[int | np.ndarray], n: int) -> np.ndarray:
+    """First four bytes, as a number, of the MD5 of ``n`` messages of one block; ``words``: its 16 words, those that differ as arrays."""
+    u = np.uint32
+    a, b, c, d = (np.full(n, v, u) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    f, t = np.empty(n, u), np.empty(n, u)
+    for i in range(61):  # the other three steps don't reach the first word
+        if i < 16:
+            g = i
+            np.bitwise_xor(c, d, f), np.bitwise_and(f, b, f), np.bitwise_xor(f, d, f)
+        elif i < 32:
+            g = (5 * i + 1) % 16
+            np.bitwise_xor(b, c, f), np.bitwise_and(f, d, f), np.bitwise_xor(f, c, f)
+        elif i < 48:
+            g = (3 * i + 5) % 16
+            np.bitwise_xor(b, c, f), np.bitwise_xor(f, d, f)
+        else:
+            g = 7 * i % 16
+            np.bitwise_not(d, f), np.bitwise_or(f, b, f), np.bitwise_xor(f, c, f)
+        f += a
+        if isinstance(words[g], int):
+            f += u((words[g] + _ADDED[i]) & 0xFFFFFFFF)
+        else:
+            f += words[g]
+            f += u(_ADDED[i])
+        np.left_shift(f, u(_TURNS[i]), t), np.right_shift(f, u(32 - _TURNS[i]), f), np.bitwise_or(f, t, f)
+        f += b
+        a, b, c, d, f = d, f, b, c, a
+    return (b + u(0x67452301)).byteswap()
+
+
+def _picks(start: bytes, n: int) -> np.ndarray:
+    """First four bytes, as a number, of the MD5 of ``start`` and each place below ``n``."""
+    out, low = np.empty(n, np.uint32), 0
+    while low < n:
+        digits = len(str(low))
+        high, size = min(n, 10**digits, low + _CHUNK), len(start) + digits
+        if size > 55:
+            out[low:high] = [int.from_bytes(hashlib.md5(start + b"%d" % j).digest()[:4], "big") for j in range(low, high)]
+        else:
+            words: list = [*struct.unpack("<16I", (start + bytes(digits) + b"\x80").ljust(56, b"\0") + struct.pack("<Q", 8 * size))]
+            j = np.arange(low, high, dtype=np.uint32)
+            for place in range(size - 1, len(start) - 1, -1):
+                j, digit = np.divmod(j, np.uint32(10))
+                words[place // 4] = (digit + np.uint32(48) << np.uint32(8 * (place % 4))) + np.uint32(words[place // 4]) if isinstance(words[place // 4], int) else words[place // 4] + (digit + np.uint32(48) << np.uint32(8 * (place % 4)))
+            out[low:high] = _heads(words, high - low)
+        low = high
+    return out
+
+
 def multiplicities(seed: str, draw: int, n: int) -> np.ndarray:
     """How often each of ``n`` rows is picked by a draw of ``n`` picks."""
-    start = hashlib.md5(f"{seed}:{draw}:".encode())
-    heads = bytearray()
-    for j in range(n):
-        h = start.copy()
-        h.update(b"%d" % j)
-        heads += h.digest()[:4]
-    return np.bincount(np.frombuffer(bytes(heads), ">u4").astype(np.int64) % max(n, 1), minlength=n)
+    return np.bincount(_picks(f"{seed}:{draw}:".encode(), n).astype(np.int64) % max(n, 1), minlength=n)
 
 
 def _runs(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

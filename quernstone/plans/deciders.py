@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import Counter
@@ -11,12 +12,13 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType
 
 from quernstone.functions.expressions import redactions
 from quernstone.functions.vocabulary import EVAL_SPLITS
-from quernstone.operators import bootstrap as B, metrics as M
+from quernstone.operators import bootstrap as B, metrics as M, regression as G
 from quernstone.operators.masking import mask
 from quernstone.plans import evaluation as E
 from quernstone.plans.ingest import cases, scratch
@@ -33,18 +35,119 @@ COMPARISONS = [("shape", "narrative"), ("company_only", "narrative"), ("categori
 #: Distinct values of intake columns that are broadcast at most.
 MOST_VALUES = 1_000_000
 
+#: Bits of a term's number that tell rows apart while terms are counted; the other 52 are the term's.
+ROW_BITS = 12
+
 _TOKEN = re.compile(r"\b\w\w+\b")
 
 
-def terms(text: str, plain: bool) -> list[str]:
-    """Words of two and more characters and neighbouring two, in lower case; ``plain``: without accents."""
+def words(text: str, plain: bool) -> list[str]:
     text = text.lower()
     if plain and not text.isascii():
         text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    w = _TOKEN.findall(text)
+    return _TOKEN.findall(text)
+
+
+def terms(text: str, plain: bool) -> list[str]:
+    """Words of two and more characters and neighbouring two, in lower case; ``plain``: without accents."""
+    w = words(text, plain)
     return w + [f"{a} {b}" for a, b in zip(w, w[1:])]
 
 
+class _Numbers(dict):
+    """64-bit numbers of words, each made once."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1_000_000:
+            self.clear()
+        self[word] = n = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return n
+
+
+def numbered(texts: list[str | None], plain: bool, known: _Numbers) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of all terms of the texts, words before pairs. Numbers end in ROW_BITS zeros."""
+    flat, many = [], []
+    for t in texts:
+        own = words(t or "", plain)
+        flat += map(known.__getitem__, own)
+        many.append(len(own))
+    one, row = np.array(flat, np.uint64), np.repeat(np.arange(len(texts)), many)
+    beside = row[1:] == row[:-1]
+    a, b = one[:-1][beside], one[1:][beside]
+    two = (a ^ (a >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)  # order counts
+    two = (two ^ (two >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    number = np.concatenate([one, two ^ (two >> np.uint64(32))])
+    return np.concatenate([row, row[1:][beside]]), number >> np.uint64(ROW_BITS) << np.uint64(ROW_BITS)
+
+
+def frequent(train: DataFrame, text: str, least: int, most: int, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers, most frequent first, and idf of the terms that ``vocabulary`` has."""
+
+    def counted(parts):
+        h, tf, df = (np.concatenate(c) for c in zip(*parts))
+        order = np.argsort(h)
+        h = h[order]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+        return h[first], *(np.add.reduceat(c[order], first) if len(first) else c for c in (tf, df))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, parts = _Numbers(), []
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in parts[0]], names=["h", "tf", "df"])
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1 << ROW_BITS):
+                row, h = numbered(whole.column(0).slice(at, 1 << ROW_BITS).to_pylist(), plain, known)
+                key = np.sort(h | row.astype(np.uint64))
+                term = key >> np.uint64(ROW_BITS)
+                first = np.flatnonzero(np.append(True, term[1:] != term[:-1])[: len(term)])
+                new = np.append(True, key[1:] != key[:-1])[: len(key)].astype(np.int64)
+                parts.append((term[first], np.diff(np.append(first, len(term))), np.add.reduceat(new, first) if len(first) else new))
+                if len(parts) > 8:
+                    parts = [counted(parts)]
+                    if len(parts[0][0]) > 4_000_000:
+                        yield out()
+                        parts = []
+        if parts:
+            parts = [counted(parts)]
+            yield out()
+
+    n = train.count()
+    found = train.select(text).mapInArrow(run, "h bigint, tf bigint, df bigint").groupBy("h").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    kept = _stored(found.where(F.col("df") >= least))
+    top = kept.orderBy(F.desc("tf"), "h").limit(most + 1).toArrow()
+    if len(top) > most:
+        last, beyond = top["tf"][most - 1].as_py(), top["tf"][most].as_py()
+        top = top.slice(0, most)
+        if last == beyond:  # the terms with as many as the last are taken by name
+            above = top.filter(pc.greater(top["tf"], last))
+            tied = kept.where(F.col("tf") == last)
+            top = pa.concat_tables([above, _named(train, text, tied, plain).orderBy("term").limit(most - len(above)).select("h", "tf", "df").toArrow().cast(above.schema)])
+    return top["h"].to_numpy().view(np.uint64), np.log((1 + n) / (1 + top["df"].to_numpy())) + 1
+
+
+def _named(train: DataFrame, text: str, some: DataFrame, plain: bool) -> DataFrame:
+    """Rows of numbered terms with the ``term`` itself."""
+    numbers = train.sparkSession.sparkContext.broadcast(np.sort(some.select("h").toArrow()["h"].to_numpy().view(np.uint64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, wanted, seen = _Numbers(), numbers.value, set()
+        for batch in batches:
+            found = []
+            for t in batch.column(0).to_pylist():
+                h = numbered([t], plain, known)[1] >> np.uint64(ROW_BITS)
+                at = np.minimum(np.searchsorted(wanted, h), max(len(wanted) - 1, 0))
+                own = terms(t or "", plain)
+                for i in np.flatnonzero(wanted[at] == h) if len(wanted) else ():
+                    if at[i] not in seen:
+                        seen.add(at[i])
+                        found.append((int(h[i]), own[i]))
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())], names=["h", "term"])
+
+    return train.select(text).mapInArrow(run, "h bigint, term string").distinct().join(some, "h")
+
+
 def vocabulary(train: DataFrame, text: str, least: int, most: int, plain: bool) -> dict[str, tuple[int, float]]:
     """term -> (index, idf). Of the terms in at least ``least`` texts the ``most`` frequent ones, ties by term."""
 
@@ -153,28 +256,52 @@ def fitted(rows: DataFrame, names: list[str]) -> DataFrame:
     return scored.select("complaint_id", "split", "y", *[F.round(vector_to_array(f"probability_{m}")[1], 6).alias(f"p_{m}") for m in names])
 
 
+def blocks(rows: DataFrame, codes: dict[tuple[str, str], int], known: tuple[np.ndarray, np.ndarray], plain: bool) -> DataFrame:
+    """``frame`` rows as blocks for ``regression``: key, ids, splits and data."""
+    order = np.argsort(known[0])
+    shared = rows.sparkSession.sparkContext.broadcast((codes, known[0][order], order, known[1]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, sorted_, place, idf = shared.value
+        none, numbers = max(codes.values(), default=-1) + 1, _Numbers()
+        for whole in batches:
+            for at in range(0, whole.num_rows, G.ROWS):
+                batch = whole.slice(at, G.ROWS)
+                coded = []
+                for c in CATEGORICAL:  # values that train hasn't are none
+                    column = batch[c].dictionary_encode()
+                    coded.append(np.array([codes.get((c, v), none) for v in column.dictionary.to_pylist()], np.int64)[column.indices.to_numpy()])
+                row, h = numbered(batch["narrative"].to_pylist(), plain, numbers)
+                h >>= np.uint64(ROW_BITS)
+                near = np.minimum(np.searchsorted(sorted_, h), max(len(sorted_) - 1, 0))
+                hit = sorted_[near] == h if len(sorted_) else np.zeros(len(h), bool)
+                both = np.sort(row[hit] * len(place) + place[near[hit]])
+                first = np.flatnonzero(np.append(True, both[1:] != both[:-1])[: len(both)])
+                row, index = np.divmod(both[first], max(len(place), 1))
+                tf = np.diff(np.append(first, len(both)))
+                w = (1 + np.log(tf)) * idf[index]
+                length = np.sqrt(np.bincount(row, w * w, batch.num_rows))
+                data = G.packed(batch["y"].to_numpy(), batch["shape"].flatten().to_numpy().reshape(-1, 3), np.stack(coded, 1), row, index, tf, np.divide(1, length, out=np.zeros(len(length)), where=length > 0))
+                key = int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+                yield pa.RecordBatch.from_pydict({"key": [key], "ids": [batch["complaint_id"].to_pylist()], "splits": [batch["split"].to_pylist()], "data": [data]})
+
+    return rows.select("complaint_id", "split", "y", *CATEGORICAL, "narrative", "shape").mapInArrow(run, "key bigint, ids array<string>, splits array<string>, data binary")
+
+
 def lr_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P(needed human) of evaluation cases by the reference's six regressions, a column each."""
-    from pyspark.ml.feature import VectorAssembler
-
     rows = frame(spark, sf_dir)
     train = rows.where("split = 'train'")
     codes = value_codes(train, CATEGORICAL)
     least, most, plain = NARRATIVE
-    known = vocabulary(train, "narrative", least, most, plain)
-    sizes = max([c for (name, _), c in codes.items() if name != "company"], default=-1) + 1, max(codes.values(), default=-1) + 1, len(known)
-    shared = spark.sparkContext.broadcast((codes, known))
-
-    def of(r):
-        codes, known = shared.value
-        others, every, words = sizes
-        cat = [codes[c, r[c]] for c in CATEGORICAL if (c, r[c]) in codes]  # values that train hasn't are none
-        some, own = [i for i in cat if i < others], [i - others for i in cat if i >= others]
-        at, w = weights(r["narrative"] or "", known, plain)
-        return [(3, [0, 1, 2], r["shape"]), (every - others, own, [1.0] * len(own)), (others, some, [1.0] * len(some)), (every, cat, [1.0] * len(cat)), (words, at, w)]
-
-    stored = _stored(encoded(rows, ["complaint_id", "split", "y"], [*CATEGORICAL, "narrative", "shape"], MODELS[:-1], of))
-    return fitted(VectorAssembler(inputCols=["categorical", "narrative"], outputCol=MODELS[-1]).transform(stored), MODELS)
+    known = frequent(train, "narrative", least, most, plain)
+    others, every = max([c for (name, _), c in codes.items() if name != "company"], default=-1) + 1, max(codes.values(), default=-1) + 1
+    layout = G.Layout(3, every, known[1])
+    shape, company, some, coded, text = layout.columns("shape"), layout.columns("codes", slice(others, None)), layout.columns("codes", slice(0, others)), layout.columns("codes"), layout.columns("words")
+    models = [(("shape",), shape), (("codes",), company), (("codes",), some), (("codes",), coded), (("words",), text), (("codes", "words"), np.append(coded, text))]
+    found = G.fit(_stored(blocks(train, codes, known, plain)), layout, models)
+    scored = _stored(blocks(rows.where(F.col("split").isin(EVAL_SPLITS)), codes, known, plain))
+    return G.chances(scored, layout, models, found, [f"p_{m}" for m in MODELS])
 
 
 def name_leak_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

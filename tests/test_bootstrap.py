@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -21,6 +22,11 @@ def test_draws_equal_the_operators_on_resampled_rows(spark):
     assert gained == pytest.approx({d: auc["c"][d] - auc["q"][d] for d in range(8)})
 
 
+def test_picks_are_md5_at_every_length():
+    for start, n in ((b"s:0:", 12_001), (b"x" * 51, 12_001), (b"x" * 60, 12), (b"s:1:", 0)):
+        assert B._picks(start, n).tolist() == [int.from_bytes(hashlib.md5(start + b"%d" % j).digest()[:4], "big") for j in range(n)]
+
+
 def test_draws_with_one_outcome_have_no_gain(spark):
     df = spark.createDataFrame([("a", 0.1, 0.2, 0), ("b", 0.3, 0.4, 0)], "id string, p double, q double, y int")
     assert B.gains(df, "id", "y", [("p", "q")], 3, "s").count() == 0
