@@ -90,6 +90,42 @@ def test_similar_to_shuffles_no_terms(spark, sf_dir):
     assert sorted(R._product((np.array([1, 4, 9]), np.array([1.0, 2.0, 3.0])), b) for b in [(np.array([4, 5]), np.array([10.0, 7.0])), (np.array([], int), np.array([]))]) == [0.0, 20.0]
 
 
+def test_find_objects_answers_every_case(spark, tmp_path):
+    r = random.Random(5)
+    words = [f"word{i}" for i in range(25)]
+    rows = [(r.choice("ab"), str(i), f"2024-01-{1 + r.randrange(28):02d}", " ".join(r.choice(words) for _ in range(10)), *(("train", "relief") if i % 3 else ("test", "excluded")), f"issue{i % 4}") for i in range(1, 61)]
+    schema = "canonical_product string, complaint_id string, date_received string, narrative string, split string, label string, issue string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/complaints.parquet")
+    got = defaultdict(list)
+    for row in textual.find_objects(spark, str(tmp_path)).orderBy("query", "rank").collect():
+        got[row["query"]].append(row["neighbour"])
+    want = brute([x[:4] for x in rows if x[4] == "train"], [x[:4] for x in rows], textual.K)
+    assert dict(got) == {q: v for q, v in want.items() if v}
+    assert sum(int(q) % 50 > 0 for q in got) > 40
+
+
+def test_similar_reads_sent_files_and_keeps_the_first_of_many_equal_texts(spark, monkeypatch):
+    texts = ["one two three four", "one two five six", "three four five six", "one six seven two"]
+    corpus = [("a", f"{i:03d}", f"2024-01-{1 + i % 28:02d}", texts[i % 7 % 4]) for i in range(120)]  # more equal ones than a pool holds
+    queries = [("a", "q", "2024-01-20", "one two three seven"), ("a", "early", "2024-01-01", texts[0]), ("a", None, "2024-02-01", texts[0]), ("a", "undated", None, texts[0]), (None, "x", "2024-02-01", texts[0])]
+    schema = "g string, id string, day string, text string"
+    want = {q: v for q, v in brute(corpus, queries[:2], 2).items() if v}
+
+    def found(day):
+        frames = [spark.createDataFrame(rows, schema).withColumn("day", F.col("day").cast(day)) for rows in (corpus, queries)]
+        got = defaultdict(list)
+        for row in R.similar(*frames, "g", "id", "day", "text", F.col("text"), 2).orderBy("query", "rank").collect():
+            got[row["query"]].append(row["neighbour"])
+        return dict(got)
+
+    assert want and found("string") == found("date") == found("timestamp") == want
+    frame, context = type(spark.range(1)), type(spark.sparkContext)
+    names, add = frame.inputFiles, context.addFile
+    monkeypatch.setattr(frame, "inputFiles", lambda df: [n.replace("file:", "hdfs:") for n in names(df)])
+    monkeypatch.setattr(context, "addFile", lambda self, path, recursive: add(self, path.replace("hdfs:", "file:"), recursive))
+    assert found("date") == want
+
+
 def test_as_of_leaves_out_the_same_day_and_nulls(spark):
     rows = [("a", "2024-01-01", 1), ("a", "2024-01-01", 1), ("a", "2024-01-03", 1), ("b", "2024-01-02", 1), (None, "2024-01-02", 1)]
     df = spark.createDataFrame(rows, "e string, d string, v int")
